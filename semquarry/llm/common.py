@@ -47,6 +47,14 @@ def ranked(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Colu
     return inside.join(counts, by).withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_before", "_row")
 
 
+def in_blocks(df: DataFrame, by: str, block: int) -> DataFrame:
+    """Rows dealt to pairs (i, j) of blocks of their key, i <= j, with side (their block); n is the key's count."""
+    parts = F.ceil(F.col("n") / block).cast("int")
+    df = df.withColumn("_parts", parts).withColumn("side", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"))
+    df = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return df.withColumns({"i": F.least("side", "_k"), "j": F.greatest("side", "_k")}).drop("_parts", "_k")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node that links reach.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, in_blocks, table
 from .streams import groups, labels, spans
 
 WORDS = 5
@@ -155,14 +155,6 @@ def _candidates(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
             yield pd.DataFrame({"a": keys[moved], "b": keys[label[moved]]}).drop_duplicates()
 
 
-def _in_blocks(df: DataFrame, key: str, by: str, block: int) -> DataFrame:
-    """Rows dealt to pairs (i, j) of blocks of their key, i <= j, with side (their block); n is the key's count."""
-    parts = F.ceil(F.col("n") / block).cast("int")
-    df = df.withColumn("_parts", parts).withColumn("side", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"))
-    df = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return df.withColumns({"i": F.least("side", "_k"), "j": F.greatest("side", "_k")}).drop("_parts", "_k")
-
-
 def _verify(members: list[pd.DataFrame], threshold: float) -> pd.DataFrame | None:
     """(a, b, links) of groups: b the least class that links reach in the group, links by the classes' rows."""
     out = []
@@ -233,7 +225,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     found = buckets[0]
     for more in buckets[1:]:
         found = found.unionByName(more)
-    found = _in_blocks(found, "node", "set_key", LIMIT).join(coordinates, "set_key")
+    found = in_blocks(found, "set_key", LIMIT).join(coordinates, "set_key")
     found = found.select("node", "i", "j", "side", "set_key", "coordinates").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
     least = threshold - SLACK
     edges = found.mapInPandas(lambda batches: _candidates(batches, least), "a long, b long")
@@ -241,7 +233,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
 
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = grouped.join(sizes, "component").join(classes.select(F.col("set_key").alias("node"), "copies", "rep"), "node")
-    members = _in_blocks(members.withColumnRenamed("node", "set_key"), "component", "set_key", BLOCK)
+    members = in_blocks(members.withColumnRenamed("node", "set_key"), "set_key", BLOCK)
     wanted = members.select("set_key", "rep").distinct()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
