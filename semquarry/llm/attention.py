@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +34,7 @@ CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
 WINDOW, SCORED = 16, 8
 EMBED, HIDDEN = 16, 32
-ROUNDS, SHARE, BATCH, LEAST_STEPS, RATE = 3, 1 / 48, 64, 60, 0.02
+ROUNDS, SHARE, BATCH, LEAST_STEPS, RATE = 4, 1 / 48, 64, 250, 0.03
 TABLE_ENTRIES = 500_000
 #: Words whose counts every task has; the others' are joined. A bound on what is broadcast.
 FREQUENT = 200_000
@@ -50,8 +51,8 @@ class Words:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.hash: list[int] = []
-        self.first, self.ids = [0], []  # where each word's ids start
+        self.hash = np.zeros(0, np.int64)
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)  # where each word's ids start
 
     def add(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(words' numbers, lengths in words) of the texts, one after the other."""
@@ -63,17 +64,18 @@ class Words:
         if new:
             new = list(new)
             number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            self.hash += [xxhash.xxh3_64_intdigest(word) - (1 << 63) for word in new]
+            self.hash = np.append(self.hash, np.array([xxhash.xxh3_64_intdigest(word) - (1 << 63) for word in new], np.int64))
             if self.model:
-                for ids in self.model.encode([word.decode("utf-8", "replace") for word in new], num_threads=1):
-                    self.ids += ids
-                    self.first.append(len(self.ids))
+                ids = self.model.encode([word.decode("utf-8", "replace") for word in new], num_threads=1)
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                self.first = np.append(self.first, self.first[-1] + np.cumsum(sizes))
+                self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum()))
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        return np.fromiter((number[word] for words in split for word in words), np.int64, lengths.sum()), lengths
+        return np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, lengths.sum()), lengths
 
     def subwords(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after the other, number of ids of each)."""
-        first, ids = np.array(self.first), np.array(self.ids, np.int32)
+        first, ids = self.first, self.ids
         size = first[numbers + 1] - first[numbers]
         where = np.repeat(first[numbers] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         return ids[where], size
@@ -271,18 +273,22 @@ def _training(docs: DataFrame) -> DataFrame:
     return docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT)
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, count): hashes of all words of the training texts; summed within batches before the shuffle."""
+def counted(training: DataFrame, model: str = MODEL) -> DataFrame:
+    """(subword, key, count): of all words of the training texts, by their hashes, and of all their subword ids.
+
+    Summed within batches before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(None)
+        words = words_of(model)
         for batch in batches:
             numbers, _ = words.add(batch.column(0).to_pylist())
-            count = np.bincount(numbers)
-            seen = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(words.hash, np.int64)[seen]), pa.array(count[seen].astype(np.int64))], ["word", "count"])
+            for subword, count in ((False, np.bincount(numbers)), (True, np.bincount(words.subwords(numbers)[0]))):
+                seen = np.flatnonzero(count)
+                key = seen if subword else words.hash[seen]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), subword)), pa.array(key), pa.array(count[seen])], ["subword", "key", "count"])
 
-    return training.select("text").mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return training.select("text").mapInArrow(run, "subword boolean, key long, count long").groupBy("subword", "key").agg(F.sum("count").alias("count"))
 
 
 def _summed(parts: DataFrame) -> dict[str, np.ndarray]:
@@ -306,27 +312,10 @@ def _summed(parts: DataFrame) -> dict[str, np.ndarray]:
     return total
 
 
-def id_counts(training: DataFrame, model: str = MODEL) -> tuple[np.ndarray, int]:
-    """(counts of all subword ids in the training texts, number of texts)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(model)
-        total, texts = np.zeros(words.model.get_piece_size()), 0
-        for batch in batches:
-            numbers, lengths = words.add(batch.column(0).to_pylist())
-            total += np.bincount(words.subwords(numbers)[0], minlength=len(total))
-            texts += len(lengths)
-        out = io.BytesIO()
-        np.savez(out, counts=total, texts=np.array(texts))
-        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["w"])
-
-    total = _summed(training.select("text").mapInArrow(run, "w binary"))
-    return total.get("counts", np.zeros(words_of(model).model.get_piece_size())), int(total.get("texts", 0))
-
-
-def train(training: DataFrame, model: str = MODEL, rounds: int = ROUNDS, share: float = SHARE) -> tuple[Attention, Outputs]:
+def train(training: DataFrame, ids: np.ndarray, texts: int, model: str = MODEL, rounds: int = ROUNDS, share: float = SHARE) -> tuple[Attention, Outputs]:
+    """The model of the training texts, of which there are ``texts``, with subword ids so often."""
     spark = training.sparkSession
-    outputs = Outputs(*id_counts(training, model))
+    outputs = Outputs(ids, texts)
     net = Attention(outputs.counts)
     slices = round(1 / share)
     for r in range(rounds):
@@ -344,7 +333,7 @@ def train(training: DataFrame, model: str = MODEL, rounds: int = ROUNDS, share:
                 own.w = {name: x.copy() for name, x in net.w.items()}
                 own.train(inputs, targets, use, r, RATE / (1 + r))
                 n = float(use.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([own.pack(n) + b""], pa.binary()), pa.array([n])], ["w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([own.pack(n)], pa.binary()), pa.array([n])], ["w", "n"])
 
         drawn = training.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id", F.length("text")), F.lit(slices)) == r)
         parts = cut(drawn.select("doc_id", "text").mapInArrow(run, "w binary, n double"))
@@ -381,14 +370,18 @@ def scored(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
     spark = docs.sparkSession
     training = _training(docs)
-    counts = cut(word_counts(training))
+    both = cut(counted(training, model))
     texts = training.count()
+    counts = both.where("not subword").select(F.col("key").alias("word"), "count")
+    ids = np.zeros(words_of(model).model.get_piece_size(), np.int64)
+    for row in both.where("subword").collect():  # as many as the subword model's vocabulary at most
+        ids[row["key"]] = row["count"]
     n_words, v_words = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n_words + texts, v_words + (texts > 0)
     denominator = n + 1 * (v + 1)
     end = np.log10((texts + 1) / denominator)
     few = counts.orderBy(F.desc("count"), "word").limit(FREQUENT).toPandas().sort_values("word")
-    shared = spark.sparkContext.broadcast((few["word"].to_numpy(np.int64), few["count"].to_numpy(np.int64), *train(training, model)))
+    shared = spark.sparkContext.broadcast((few["word"].to_numpy(np.int64), few["count"].to_numpy(np.int64), *train(training, ids, texts, model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count, net, outputs = shared.value
@@ -398,7 +391,7 @@ def scored(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 part = batch.slice(at, 1000)
                 texts_ = part.column(1).to_pylist()
                 numbers, lengths = words.add(texts_)
-                hashes = np.array(words.hash, np.int64)
+                hashes = words.hash
                 place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
                 there = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
                 c = np.where(there, count[place], 0) if len(known) else np.zeros(len(hashes), np.int64)

@@ -8,12 +8,15 @@ from importlib import import_module
 _MODULES = {
     "op1_jaccard": "jaccard",
     "op2_pieces": "pieces",
+    "op3_topk": "topk",
+    "op5_attention": "attention",
     "op6_toxicity": "toxicity",
     "op7_packing": "packing",
+    "op8_neardup": "neardup",
     "op9_secrets": "secrets",
     "op10_shards": "shards",
 }
-_SQL = {"op10_shards": ("shards", "OP10_SQL")}
+_SQL = {"op3_topk": ("topk", "OP3_SQL"), "op8_neardup": ("neardup", "OP8_SQL"), "op10_shards": ("shards", "OP10_SQL")}
 
 
 def queries() -> dict:
