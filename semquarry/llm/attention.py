@@ -34,7 +34,7 @@ CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
 WINDOW, SCORED = 16, 8
 EMBED, HIDDEN = 16, 32
-ROUNDS, SHARE, BATCH, LEAST_STEPS, RATE = 4, 1 / 48, 64, 250, 0.03
+ROUNDS, SHARE, BATCH, LEAST_STEPS, RATE = 4, 1 / 24, 128, 100, 0.03
 TABLE_ENTRIES = 500_000
 #: Words whose counts every task has; the others' are joined. A bound on what is broadcast.
 FREQUENT = 200_000
