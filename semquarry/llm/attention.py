@@ -3,8 +3,8 @@
 Texts are lower-cased (A-Z) and split into words at white space, each word into subword ids by a public
 SentencePiece model, and every text ends with an end token. The ``VOCABULARY`` most frequent ids have
 outputs of their own, in ``CLASSES`` classes of equal size (a class, then an id in it); the rest share one,
-and are told apart by their counts. Windows of ``WINDOW`` inputs overlap by half, so that each token is
-scored once, with at least half a window before it where the text has that; a batch's windows share one
+and are told apart by their counts. Windows of ``WINDOW`` inputs move by ``SCORED``, so that each token is
+scored once, with at least WINDOW - SCORED tokens before it where the text has them; a batch's windows share one
 masked attention. The probability of a text is that of its ids, so it is a proper model of texts.
 
 Counts (of words for the base score, of ids for the vocabulary and the model's biases) cover all training
@@ -32,9 +32,9 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 FOLDS, HELD_OUT = 7, 2
 CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
-WINDOW, SCORED = 16, 8
+WINDOW, SCORED = 16, 12
 EMBED, HIDDEN = 16, 32
-ROUNDS, SHARE, BATCH, LEAST_STEPS, RATE = 4, 1 / 24, 128, 100, 0.03
+ROUNDS, SHARE, BATCH, LEAST_STEPS, RATE = 4, 1 / 32, 192, 100, 0.03
 TABLE_ENTRIES = 500_000
 #: Words whose counts every task has; the others' are joined. A bound on what is broadcast.
 FREQUENT = 200_000
@@ -128,18 +128,22 @@ class Attention:
         a = np.exp(s, out=s)
         a /= a.sum(2, keepdims=True)
         o = a @ v
-        h = np.tanh(o @ w["o"] + w["near"][inputs[:, WINDOW - queries :]] + w["b"])
+        h = o @ w["o"]
+        h += w["near"][inputs[:, WINDOW - queries :]]
+        h += w["b"]
+        np.maximum(h, 0, out=h)
         return x, xq, q, k, v, lag, a, o, h
 
     def logp(self, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray, queries: int) -> np.ndarray:
         """Natural log-probabilities of the used targets of the windows' last ``queries`` places."""
         w, h = self.w, self._hidden(inputs, queries)[-1][use]
         target = targets[use]
-        c, m = target // PER_CLASS, target % PER_CLASS
+        c, m = np.divmod(target, PER_CLASS) if PER_CLASS & (PER_CLASS - 1) else (target >> (PER_CLASS.bit_length() - 1), target & (PER_CLASS - 1))
         z = h @ w["class"]
         z += w["class_b"]
         at = np.arange(len(target))
-        out = z[at, c]  # logits are small: tanh's values times trained weights
+        np.minimum(z, 80, out=z)
+        out = z[at, c]
         out -= np.log(np.exp(z, out=z).sum(1))
         order = np.argsort(c.astype(np.int8), kind="stable")
         edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
@@ -150,6 +154,7 @@ class Attention:
             if a < b:
                 y = h[a:b] @ w["in"][i]
                 y += w["in_b"][i]
+                np.minimum(y, 80, out=y)
                 inner[a:b] = y[np.arange(b - a), m[order[a:b]]]
                 inner[a:b] -= np.log(np.exp(y, out=y).sum(1))
         out[order] += inner
@@ -177,7 +182,7 @@ class Attention:
                 dh[own] += e @ w["in"][i].T
         full = np.zeros_like(h)
         full[use] = dh
-        dz = full * (1 - h * h)
+        dz = full * (h > 0)
         flat = dz.reshape(-1, HIDDEN)
         add = lambda ids, d, n: np.stack([np.bincount(ids, d[:, j], n) for j in range(d.shape[1])], 1).astype(np.float32)
         g["near"], g["b"], g["o"] = add(inputs.ravel(), flat, VOCABULARY + 1), flat.sum(0), o.reshape(-1, EMBED).T @ flat
@@ -380,7 +385,15 @@ def scored(docs: DataFrame, model: str = MODEL) -> DataFrame:
     n, v = n_words + texts, v_words + (texts > 0)
     denominator = n + 1 * (v + 1)
     end = np.log10((texts + 1) / denominator)
-    few = counts.orderBy(F.desc("count"), "word").limit(FREQUENT).toPandas().sort_values("word")
+    # the words of the largest counts: from the lowest power of two that leaves at most FREQUENT of them
+    powers = counts.groupBy(F.floor(F.log2("count")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()  # 63 rows at most
+    power, upto = 63, 0
+    for row in sorted(powers, reverse=True):
+        upto += row["n"]
+        if upto > FREQUENT:
+            break
+        power = row["power"]
+    few = counts.where(F.col("count") >= F.lit(2**power)).toPandas().sort_values("word")
     shared = spark.sparkContext.broadcast((few["word"].to_numpy(np.int64), few["count"].to_numpy(np.int64), *train(training, ids, texts, model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
