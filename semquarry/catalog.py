@@ -1,4 +1,9 @@
 """Name -> query builder and name -> SQL, gathered from the plan modules."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from .plans import records, surface, telemetry  # noqa: F401  each adds its queries
+from .plans.surface import QUERIES, SQL
+
+ORACLE_SQL = SQL
+__all__ = ["ORACLE_SQL", "QUERIES"]

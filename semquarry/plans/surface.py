@@ -1,0 +1,222 @@
+"""Queries over source text: surface records, policies, audits, retrieval, conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import policy, text
+from ..operators import context, metrics, ordering, retrieval
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+NORM = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
+STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+TELEGRAPH = rf"array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+'), lambda w: NOT list_contains([{STOPS}], w)), ' ')"
+ROUGH = "greatest(1, ceil(length({}) / 4.0))::BIGINT"
+
+
+@query(f"SELECT doc_id, 'lsf:0.1:sha256:' || substr(sha256({NORM}), 1, 24) AS fp FROM documents")
+def surface_fingerprint(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.surface_fingerprint(F.col("text")).alias("fp"))
+
+
+@query(f"SELECT fp, count(*) AS n, min(doc_id) AS first_id, count(DISTINCT lang) AS langs FROM (SELECT doc_id, lang, 'lsf:0.1:sha256:' || substr(sha256({NORM}), 1, 24) AS fp FROM documents) GROUP BY fp")
+def surface_dedup_groups(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", "lang", text.surface_fingerprint(F.col("text")).alias("fp"))
+    return rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.countDistinct("lang").alias("langs"))
+
+
+@query(f"SELECT doc_id, {TELEGRAPH} AS code FROM documents")
+def telegraph(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.telegraph(F.col("text")).alias("code"))
+
+
+@query(rf"""SELECT doc_id, {ROUGH.format('text')} AS rough, ceil(length(text) / 4.0)::BIGINT AS estimated, (len(regexp_extract_all(text, '([.,!?;:()"'']|[^\s.,!?;:()"'']+)')) + 2)::BIGINT AS word_punct, greatest(1, ceil(strlen(text) / 3.5))::BIGINT AS by_bytes FROM documents""")
+def token_counts(spark, d):
+    t = F.col("text")
+    return read(spark, d, "documents").select("doc_id", text.rough_tokens(t).alias("rough"), text.estimated_tokens(t).alias("estimated"), text.word_punct_tokens(t).alias("word_punct"), text.byte_tokens(t).alias("by_bytes"))
+
+
+def _policed(spark, d) -> DataFrame:
+    category = F.element_at(F.array(*map(F.lit, ["preference", "fact", "style", "legal", "medical"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    risk = F.when(F.col("doc_id") % 7 == 0, "high").otherwise("low")
+    confidence = (F.col("doc_id") % 20) / 20 + 0.05
+    return read(spark, d, "documents").withColumns({"category": category, "risk": risk, "confidence": confidence})
+
+
+_POLICED = "SELECT *, list_extract(['preference', 'fact', 'style', 'legal', 'medical'], (doc_id % 5 + 1)::INTEGER) AS category, CASE WHEN doc_id % 7 = 0 THEN 'high' ELSE 'low' END AS risk, (doc_id % 20) / 20.0 + 0.05 AS confidence FROM documents"
+_EXACT = policy.EXACT_PATTERN
+_ELIGIBLE = ", ".join(f"'{c}'" for c in policy.ELIGIBLE_CATEGORIES)
+_REASONS = f"array_to_string(list_filter([CASE WHEN confidence < 0.9 THEN 'low-confidence' END, CASE WHEN risk <> 'low' THEN 'risk' END, CASE WHEN category NOT IN ({_ELIGIBLE}) THEN 'category' END, CASE WHEN regexp_matches(text, '{_EXACT}') THEN 'exact-content' END], lambda r: r IS NOT NULL), ',')"
+
+
+def _reasons():
+    return policy.eligibility_reasons(F.col("text"), F.col("category"), F.col("risk"), F.col("confidence"), F.lit(True))
+
+
+@query(f"SELECT doc_id, {_REASONS} AS reasons, {_REASONS} = '' AS eligible FROM ({_POLICED})")
+def eligibility_reasons(spark, d):
+    return _policed(spark, d).select("doc_id", F.array_join(_reasons(), ",").alias("reasons"), (F.size(_reasons()) == 0).alias("eligible"))
+
+
+@query(f"SELECT risk, category, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM ({_POLICED}) GROUP BY GROUPING SETS ((risk), (category), ())")
+def policy_stats(spark, d):
+    _policed(spark, d).createOrReplaceTempView("_policed")
+    return spark.sql("SELECT risk, category, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM _policed GROUP BY GROUPING SETS ((risk), (category), ())")
+
+
+#: Patterns of the secret audit, by name.
+SECRET_PATTERNS = {"aws-key": "AKIA[A-Z0-9]{12,}", "assignment": "(?i)(password|secret|token|api_?key)[ ]*[:=][ ]*[^ ]{8,}", "hex": "[0-9a-f]{32,}", "bearer": "(?i)bearer [a-z0-9._-]{16,}", "private-key": "-----BEGIN [A-Z ]*PRIVATE KEY-----"}
+_PATTERN_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in SECRET_PATTERNS.items())
+
+
+@query(rf"""SELECT doc_id, (i - 1)::INTEGER AS line, name AS pattern, '***' || right(regexp_extract(lines[i], regex), 4) AS excerpt
+FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents), (VALUES {_PATTERN_ROWS}) p(name, regex) WHERE regexp_matches(lines[i], regex)""")
+def secret_audit(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    hits = F.array_compact(F.array(*[F.when(F.col("value").rlike(v), F.struct(F.lit(k).alias("pattern"), F.regexp_extract("value", v, 0).alias("hit"))) for k, v in SECRET_PATTERNS.items()]))
+    return lines.select("doc_id", "line", F.explode(hits).alias("h")).select("doc_id", "line", "h.pattern", F.concat(F.lit("***"), F.right("h.hit", F.lit(4))).alias("excerpt"))
+
+
+@query(rf"SELECT doc_id, regexp_matches(text, '{policy.EMAIL}') AS email, regexp_matches(text, '{policy.PHONE}') AS phone, regexp_matches(text, '{policy.TITLE_NAME}') AS titled FROM documents")
+def pii_flags(spark, d):
+    t = F.col("text")
+    return read(spark, d, "documents").select("doc_id", t.rlike(policy.EMAIL).alias("email"), t.rlike(policy.PHONE).alias("phone"), t.rlike(policy.TITLE_NAME).alias("titled"))
+
+
+DOMAINS = {"legal": ["licensed", "rights", "license"], "contact": ["call", "mail", "phone"], "toxic": ["idiot", "stupid", "moron"]}
+_DOMAIN = lambda k: " + ".join(f"contains(lower(text), '{w}')::INTEGER" for w in DOMAINS[k])
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS domain, round(least(1.0, 0.35 + 0.12 * n), 6) AS confidence FROM (SELECT doc_id, {_DOMAIN(k)} AS n FROM documents) WHERE n > 0" for k in DOMAINS))
+def domain_classify(spark, d):
+    low = F.lower("text")
+    count = lambda words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+    found = F.array(*[F.struct(F.lit(k).alias("domain"), count(w).alias("n")) for k, w in DOMAINS.items()])
+    return read(spark, d, "documents").select("doc_id", F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select("doc_id", "x.domain", F.round(policy.domain_confidence(F.col("x.n"), F.lit(0), F.lit(0)), 6).alias("confidence"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(lower(url), '(secret|password|token|credential)') THEN 'secret' WHEN regexp_matches(lower(url), '(email|phone|name|address|user)') THEN 'personal' WHEN regexp_matches(lower(url), '(log|trace|metric|id)') THEN 'internal' ELSE 'public' END AS sensitivity FROM pages")
+def sensitivity_first_match(spark, d):
+    return read(spark, d, "pages").select("page_id", policy.first_rule(F.col("url"), policy.SENSITIVITY, "public").alias("sensitivity"))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+_LEXICAL = rf"""q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS word FROM benchmark), nq AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
+dw AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents), hits AS (SELECT item_id, doc_id, count(*) AS c FROM q JOIN dw USING (word) GROUP BY item_id, doc_id),
+lexical AS (SELECT item_id, doc_id, round(c / n::DOUBLE, 6) AS overlap FROM hits JOIN nq USING (item_id) WHERE round(c / n::DOUBLE, 6) >= 0.3)"""
+
+
+@query(f"WITH {_LEXICAL} SELECT * FROM lexical")
+def lexical_retrieval(spark, d):
+    return retrieval.lexical(read(spark, d, "benchmark").select("item_id", "text"), read(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
+
+
+_FP = f"substr(sha256({NORM}), 1, 24)"
+
+
+@query(f"SELECT a.doc_id AS query_id, b.doc_id FROM (SELECT doc_id, {_FP} AS fp FROM documents WHERE doc_id % 10 = 0) a JOIN (SELECT doc_id, {_FP} AS fp FROM documents) b USING (fp)")
+def exact_retrieval(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", text.surface_fingerprint(F.col("text")).alias("fp"))
+    queries = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "fp")
+    return retrieval.exact(queries, docs, "query_id", "doc_id", "fp")
+
+
+@query(f"WITH {_LEXICAL}, exact AS (SELECT item_id, doc_id FROM (SELECT item_id, {_FP} AS fp FROM benchmark) JOIN (SELECT doc_id, {_FP} AS fp FROM documents) USING (fp)), both_ AS (SELECT item_id, doc_id, 0.4 AS s FROM exact UNION ALL SELECT item_id, doc_id, 0.2 * overlap FROM lexical) SELECT item_id, doc_id, round(sum(s), 6) AS score FROM both_ GROUP BY item_id, doc_id HAVING round(sum(s), 6) >= 0.2")
+def hybrid_retrieval(spark, d):
+    q, docs = read(spark, d, "benchmark").select("item_id", "text"), read(spark, d, "documents").select("doc_id", "text")
+    fp = text.surface_fingerprint(F.col("text")).alias("fp")
+    exact = retrieval.exact(q.select("item_id", fp), docs.select("doc_id", fp), "item_id", "doc_id", "fp").withColumn("score", F.lit(1.0))
+    lexical = retrieval.lexical(q, docs, "item_id", "doc_id").withColumnRenamed("overlap", "score")
+    return retrieval.hybrid(exact, exact.limit(0), lexical, "item_id", "doc_id", 0.2)
+
+
+@query(f"WITH RECURSIVE m AS (SELECT conv_id, text, {ROUGH.format('text')} AS n, {ROUGH.format(TELEGRAPH)} AS c, role = 'user' AS e FROM conversations) SELECT conv_id, count(*) AS messages, sum(n)::BIGINT AS natural_tokens, sum(c)::BIGINT AS code_tokens, sum(CASE WHEN e THEN c ELSE n END)::BIGINT AS mixed_tokens, count(*) FILTER (WHERE e) AS eligible, round(sum(CASE WHEN e THEN c ELSE n END) / sum(n)::DOUBLE, 6) AS ratio, round(1 - sum(CASE WHEN e THEN c ELSE n END) / sum(n)::DOUBLE, 6) AS savings, CASE WHEN count(*) FILTER (WHERE e) = 0 THEN 'natural' WHEN count(*) FILTER (WHERE e) = count(*) THEN 'lunum' ELSE 'mixed' END AS mode FROM m GROUP BY conv_id")
+def context_compile(spark, d):
+    return context.compile_context(read(spark, d, "conversations"), "conv_id", F.col("role") == "user")
+
+
+@query(f"SELECT lang, round(avg(c), 3) AS mean, round(median(c), 3) AS median, round(stddev_pop(c), 3) AS sd, min(c) AS lowest, max(c) AS highest, round(avg(1 - c / n::DOUBLE) FILTER (WHERE n > 0), 6) AS reduction FROM (SELECT lang, ceil(length(text) / 4.0)::BIGINT AS n, ceil(length({TELEGRAPH}) / 4.0)::BIGINT AS c FROM documents) GROUP BY lang")
+def token_atlas(spark, d):
+    return context.token_atlas(read(spark, d, "documents"), ["lang"])
+
+
+_JUDGED = "SELECT d.lang, d.source, l.doc_id, l.quality, l.toxic, round(d.n_chars / 5000.0, 6) AS score FROM labels l JOIN documents d USING (doc_id)"
+
+
+def _judged(spark, d) -> DataFrame:
+    return read(spark, d, "labels").join(read(spark, d, "documents").drop("text"), "doc_id").select("lang", "source", "doc_id", "quality", "toxic", F.round(F.col("n_chars") / 5000.0, 6).alias("score"))
+
+
+_PRF = "tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1, round(CASE WHEN fp + tn = 0 THEN 0 ELSE fp / (fp + tn)::DOUBLE END, 6) AS fpr"
+_RATES = "CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp)::DOUBLE END AS p, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn)::DOUBLE END AS r"
+_COUNTS = "count(*) FILTER (WHERE a AND b) AS tp, count(*) FILTER (WHERE a AND NOT b) AS fp, count(*) FILTER (WHERE NOT a AND b) AS fn, count(*) FILTER (WHERE NOT a AND NOT b) AS tn"
+
+
+@query(f"WITH j AS ({_JUDGED}), c AS (SELECT lang, {_COUNTS} FROM (SELECT lang, score >= 0.3 AS a, quality = 1 AS b FROM j) GROUP BY lang), r AS (SELECT *, {_RATES} FROM c) SELECT lang, {_PRF} FROM r")
+def retrieval_metrics_by_lang(spark, d):
+    return metrics.confusion(_judged(spark, d), F.col("score") >= 0.3, F.col("quality") == 1, ["lang"])
+
+
+THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(11)]
+
+
+@query(f"WITH j AS ({_JUDGED}), s AS (SELECT t AS threshold, score >= t AS a, quality = 1 AS b FROM j, (SELECT unnest({THRESHOLDS})::DOUBLE AS t)), c AS (SELECT threshold, {_COUNTS} FROM s GROUP BY threshold), r AS (SELECT *, {_RATES} FROM c) SELECT threshold, {_PRF} FROM r")
+def threshold_sweep(spark, d):
+    return metrics.threshold_sweep(_judged(spark, d), "score", F.col("quality") == 1, THRESHOLDS)
+
+
+@query(f"WITH j AS ({_JUDGED}), w AS (SELECT source, quality AS rel, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k FROM j), h AS (SELECT *, sum(rel) OVER (PARTITION BY source ORDER BY k) AS hits FROM w), g AS (SELECT source, sum(rel)::BIGINT AS relevant, sum(CASE WHEN k <= 10 THEN rel / log2(k + 1) ELSE 0 END) AS dcg, min(CASE WHEN rel = 1 THEN k END) AS first_, sum(CASE WHEN rel = 1 THEN hits / k::DOUBLE ELSE 0 END) AS ap, sum(CASE WHEN k <= 10 THEN rel ELSE 0 END) AS at_k FROM h GROUP BY source) SELECT source, relevant, round(CASE WHEN relevant = 0 THEN 0 ELSE dcg / list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg, round(coalesce(1.0 / first_, 0), 6) AS mrr, round(CASE WHEN relevant = 0 THEN 0 ELSE ap / relevant END, 6) AS ap, round(at_k / 10.0, 6) AS precision_at_k FROM g")
+def ndcg_mrr_map(spark, d):
+    return metrics.ranking(_judged(spark, d), "source", [F.desc("score"), F.col("doc_id")], F.col("quality") == 1)
+
+
+@query("WITH s AS (SELECT doc_id, lang, source, n_chars, round((0.6 * (least(n_chars, 5000) / 5000.0) + 0.15 * pow(0.5, greatest(0, (doc_id % 60)) / 7.0) + 0.15 * coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 0.8 END, 0.5) + 0.1 * 0.5) / 1.0, 6) AS score FROM documents) SELECT lang, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
+def composite_rank_topk(spark, d):
+    signals = {"match": (F.least(F.col("n_chars"), F.lit(5000)) / 5000.0, 0.6, 0.0), "fresh": (ordering.freshness((F.col("doc_id") % 60).cast("double")), 0.15, 1.0), "importance": (F.when(F.col("doc_id") % 3 != 0, 0.8), 0.15, 0.5), "provenance": (F.lit(None).cast("double"), 0.1, 0.5)}
+    rows = read(spark, d, "documents").select("lang", "doc_id", F.round(ordering.composite(signals), 6).alias("score"))
+    return ordering.top_k(rows, ["lang"], [F.desc("score"), F.col("doc_id")], 10)
+
+
+@query(f"SELECT fp, count(DISTINCT source) AS owners FROM (SELECT source, {_FP} AS fp FROM documents) GROUP BY fp HAVING count(DISTINCT source) > 1")
+def evidence_isolation(spark, d):
+    docs = read(spark, d, "documents").select("source", F.substring(text.surface_fingerprint(F.col("text")), 16, 24).alias("fp"))
+    return docs.groupBy("fp").agg(F.countDistinct("source").alias("owners")).where("owners > 1")
+
+
+@query(f"SELECT doc_id, 'lsf:1.0:sha256:' || substr(sha256(substr(sha256(source), 1, 16) || {NORM}), 1, 16) || substr(sha256(source), 1, 16) AS scoped, regexp_matches(source, '^[A-Za-z0-9_-]{{1,128}}$') AS valid_tenant FROM documents")
+def tenant_scoped_fingerprint(spark, d):
+    prefix = F.substring(F.sha2("source", 256), 1, 16)
+    digest = F.substring(F.sha2(F.concat(prefix, F.lower(text.normalize_text(F.col("text")))), 256), 1, 16)
+    return read(spark, d, "documents").select("doc_id", F.concat(F.lit("lsf:1.0:sha256:"), digest, prefix).alias("scoped"), F.col("source").rlike(policy.TENANT).alias("valid_tenant"))
+
+
+@query("SELECT l.doc_id FROM labels l ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d USING (doc_id)")
+def orphan_labels(spark, d):
+    english = read(spark, d, "documents").where("lang = 'en'").select("doc_id")
+    return read(spark, d, "labels").select("doc_id").join(english, "doc_id", "left_anti")
+
+
+@query("SELECT k.lang, coalesce(n, 0) AS n, coalesce(n, 0) < 8 AS short FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('el'), ('id')) k(lang) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang)")
+def zero_filled_inventory(spark, d):
+    kinds = spark.createDataFrame([(x,) for x in ("en", "de", "fr", "es", "el", "id")], "lang string")
+    counts = read(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
+    return kinds.join(counts, "lang", "left").select("lang", n.alias("n"), (n < 8).alias("short"))
