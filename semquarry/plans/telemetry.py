@@ -37,7 +37,7 @@ def hotspots(spark, d):
     return by_type.groupBy("user_id").agg(total.alias("total"), F.max_by("event_type", F.col("n") * 1000 - F.ascii("event_type")).alias("dominant")).where("total >= 20").withColumn("urgency", F.when(F.col("total") >= 60, "high").when(F.col("total") >= 40, "medium").otherwise("low"))
 
 
-_GROUPING = "SELECT event_type, hour(ts) AS hour, count(*) AS n, round(avg(value), 6) AS mean FROM {} GROUP BY GROUPING SETS ((event_type), (hour(ts)), ())"
+_GROUPING = "SELECT event_type, CAST(hour(ts) AS BIGINT) AS hour, count(*) AS n, round(avg(value), 6) AS mean FROM {} GROUP BY GROUPING SETS ((event_type), (hour(ts)), ())"
 
 
 @query(_GROUPING.format("events"))
