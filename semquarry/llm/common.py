@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .streams import labels
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,6 +59,26 @@ def in_blocks(df: DataFrame, by: str, block: int) -> DataFrame:
     return df.withColumns({"i": F.least("side", "_k"), "j": F.greatest("side", "_k")}).drop("_parts", "_k")
 
 
+#: Edges that one task contracts at once.
+CONTRACTED = 500_000
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """A spanning forest for each task's edges (a, b): as many edges as nodes at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [batch for batch in batches if len(batch)]
+        if parts:
+            both = pd.concat(parts)
+            nodes, at = np.unique(both[["a", "b"]].to_numpy(), return_inverse=True)
+            at = at.reshape(-1, 2)
+            label = labels(len(nodes), at[:, 0], at[:, 1])
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            yield pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
+
+    return edges.mapInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node that links reach.
 
@@ -63,6 +87,10 @@ def components(edges: DataFrame) -> DataFrame:
     The driver gets one number a round.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    before, n = None, now.count()
+    while n and (before is None or 2 * n < before):  # forests of a bounded number of edges a task, while that helps
+        now = cut(_contract(now.repartition(-(-n // CONTRACTED))).distinct())
+        before, n = n, now.count()
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
