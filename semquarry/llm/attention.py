@@ -387,7 +387,7 @@ def scored(docs: DataFrame, model: str = MODEL) -> DataFrame:
     end = np.log10((texts + 1) / denominator)
     # the words of the largest counts: from the lowest power of two that leaves at most FREQUENT of them
     powers = counts.groupBy(F.floor(F.log2("count")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()  # 63 rows at most
-    power, upto = 63, 0
+    power, upto = 62, 0
     for row in sorted(powers, reverse=True):
         upto += row["n"]
         if upto > FREQUENT:

@@ -33,7 +33,8 @@ SAMPLE = 20_000
 SHORTEST = 16
 #: A token is reported when the ratio is above this, in nats a character.
 THRESHOLD = 1.0
-SMOOTHING = 0.5
+#: Added to each character's count, and the weight of these single counts beside those of pairs.
+SMOOTHING, BACKOFF = 0.5, 5.0
 
 _CODE = np.full(256, 0, np.uint8)
 _CODE[[ord(c) for c in ALPHABET]] = range(1, len(ALPHABET) + 1)
@@ -61,11 +62,12 @@ class Models(NamedTuple):
     def train(cls, random: list[str], ordinary: list[str]) -> Models:
         logs = []
         for samples in (random, ordinary):
-            counts = np.full((_STATES, _STATES), SMOOTHING)
+            counts = np.zeros((_STATES, _STATES))
             for sample in samples:
                 codes = _codes(sample)
                 np.add.at(counts, (np.concatenate([[0], codes[:-1]]), codes), 1)
-            logs.append(np.log(counts / counts.sum(1, keepdims=True)))
+            single = (counts.sum(0) + SMOOTHING) / (counts.sum() + SMOOTHING * _STATES)
+            logs.append(np.log((counts + BACKOFF * single) / (counts.sum(1, keepdims=True) + BACKOFF)))
         return cls(logs[0] - logs[1])
 
     def score(self, token: str) -> float:

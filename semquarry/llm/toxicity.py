@@ -179,6 +179,10 @@ def fit(texts: list[str | None], labels: list[int], weights: list[float] | None
             tags = np.array([bool(label) and w in marked for w in words[a : a + WINDOW]])
             if tags.any() or zlib.crc32(f"{len(windows)}:{a}".encode()) % 16 == 0:
                 windows.append((raw[a : a + WINDOW], tags))
+    if not any(tags.any() for _, tags in windows):  # nothing to tell the labels apart by
+        rate = float((importance * y).sum() / importance.sum())
+        model.scale = np.array([np.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
+        return model
     ids = {w: _features(w) for words, _ in windows for w in set(words)}
     windows.sort(key=lambda x: -len(x[0]))
     longest = max((len(x[0]) for x in windows), default=0)
