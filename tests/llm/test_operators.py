@@ -93,7 +93,7 @@ def test_markov_models_add_spans():
 
 
 def test_toxicity(docs, labels):
-    texts = [f"w{i % 7} calm w{i % 5} words idiot w{i % 3} here" for i in range(60)] + [f"w{i % 7} calm w{i % 5} words only w{i % 3} here" for i in range(60)]
+    texts = [f"calm words w{i % 7} idiot w{i % 5} w{i % 3} here" for i in range(60)] + [f"w{i % 7} calm w{i % 5} words only w{i % 3} here" for i in range(60)]
     model = toxicity.fit(texts, [1] * 60 + [0] * 60)
     scores, p = model.scores(["some idiot here", "some words here", "", None])
     assert scores[0] > 0.5 > max(scores[1:]) and model.spans("some idiot here", p[0]) == [(5, 10)]
