@@ -43,6 +43,8 @@ RUNS = ceil(log(1 - RECALL) / log(1 - SURVIVAL))
 #: Over four standard deviations of an estimate from ``COORDINATES`` at the threshold.
 SLACK = 0.21
 BLOCK = 512
+#: Of what is still large after ``DEPTH`` splits; a class is sent once for each block of its bucket.
+BUCKET_BLOCK = 1024
 TABLE_ENTRIES = 600_000
 
 _RNG = np.random.default_rng(7)
@@ -225,7 +227,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     found = buckets[0]
     for more in buckets[1:]:
         found = found.unionByName(more)
-    found = in_blocks(found, "set_key", LIMIT).join(coordinates, "set_key")
+    found = in_blocks(found, "set_key", BUCKET_BLOCK).join(coordinates, "set_key")
     found = found.select("node", "i", "j", "side", "set_key", "coordinates").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
     least = threshold - SLACK
     edges = found.mapInPandas(lambda batches: _candidates(batches, least), "a long, b long")

@@ -126,7 +126,7 @@ def test_jaccard(docs):
 
 
 def test_jaccard_large_groups_go_block_by_block(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LIMIT", 4), monkeypatch.setattr(jaccard, "BLOCK", 8), monkeypatch.setattr(jaccard, "DEPTH", 1)
+    monkeypatch.setattr(jaccard, "LIMIT", 4), monkeypatch.setattr(jaccard, "BLOCK", 8), monkeypatch.setattr(jaccard, "BUCKET_BLOCK", 8), monkeypatch.setattr(jaccard, "DEPTH", 1)
     base = [f"t{i}" for i in range(100)]
     texts = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(5, 45)]
     found = rows(jaccard.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), depth=1))
