@@ -223,14 +223,15 @@ def fit(texts: list[str | None], labels: list[int], weights: list[float] | None
     x = np.hstack([np.ones((len(x), 1)), x])
     loss = lambda b: (importance * np.logaddexp(0, (1 - 2 * y) * (x @ b))).sum() + 0.5 * b @ b
     b = np.zeros(4)
+    moved = lambda b: np.concatenate([b[:1], np.maximum(b[1:], 0)])  # noqa: E731  more marked tokens never lower a score
     for _ in range(40):  # Newton's method, each step halved until it helps
         p = _sigmoid(x @ b)
         h = (x * (importance * p * (1 - p))[:, None]).T @ x + np.eye(4)
         step = np.linalg.solve(h, x.T @ (importance * (y - p)) - b)
-        size = next((k for k in 0.5 ** np.arange(20) if loss(b + k * step) < loss(b)), 0)
+        size = next((k for k in 0.5 ** np.arange(20) if loss(moved(b + k * step)) < loss(b)), 0)
         if not size:
             break
-        b = b + size * step
+        b = moved(b + size * step)
     model.scale = b
     model.table.clear()
     return model

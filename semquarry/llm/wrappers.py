@@ -40,6 +40,8 @@ BOILERPLATE = frozenset("nav footer aside form script style noscript template if
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent footer menu nav navbar navigation newsletter notice popup promo promoted related share sharing sidebar social sponsor sponsored subscribe widget disqus respond masthead toolbar pagination complementary contentinfo search modal".split())
 #: The main part is narrowed while one part has so much of the text.
 MOST = 0.8
+#: Tasks to which a host's pages are dealt.
+SALTS = 64
 
 
 class Element:
@@ -242,8 +244,10 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(text if text is not None else text_of(root, main_path(expression(root))) or "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    # pages are by far the larger side; Spark sends the paths to all tasks only where it has measured them small
-    joined = keyed.join(found, "host", "left").select("page_id", "url", "html", "path")
+    # pages are by far the larger side; a host's pages are dealt to SALTS tasks, and its path, a few words, to each
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int"))
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = keyed.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "path")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
 
