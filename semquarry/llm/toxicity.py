@@ -12,10 +12,11 @@ else covers all rows and whole texts.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -152,44 +153,75 @@ class Field:
         return found
 
 
-def fit(texts: list[str | None], labels: list[int], weights: list[float] | None = None) -> Field:
-    """A field from labelled documents. ``weights`` undo a sample's proportions in the document scores."""
+class Vocabulary(dict):
+    """Numbers for distinct tokens, given in order of arrival."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = number = len(self)
+        return number
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+def _marked(documents: list[np.ndarray], y: np.ndarray, bare: np.ndarray) -> np.ndarray:
+    """Which words carry the toxic tag in toxic documents; ``bare`` maps tokens to words without punctuation."""
+    n = int(bare.max(initial=-1)) + 1
+    seen = np.zeros((2, n), np.int64)
+    around = np.zeros((0, 3), np.int32)  # copies of one document repeat a word's neighbours, and count once
+    waiting: list[np.ndarray] = []
+    for i, ids in enumerate(documents):
+        words = bare[ids]
+        seen[int(y[i]), np.unique(words)] += 1
+        if y[i] and len(words):
+            edged = np.concatenate([[-1], words, [-1]]).astype(np.int32)
+            waiting.append(np.stack([edged[1:-1], edged[:-2], edged[2:]], 1))
+        if waiting and (i + 1 == len(documents) or sum(map(len, waiting)) > 500_000):
+            around, waiting = np.unique(np.concatenate([around, *waiting]), axis=0), []
+    if waiting:
+        around = np.unique(np.concatenate([around, *waiting]), axis=0)
+    contexts = np.bincount(around[:, 0], minlength=n)
+    odds = lambda c, of: (c + 0.3) / (of - c + 0.3)
+    ratio = odds(seen[1], (y == 1).sum()) / odds(seen[0], (y == 0).sum())
+    return (contexts >= LEAST_CONTEXTS) & (ratio >= LEAST_ODDS)
+
+
+def fit(texts: Iterable[str | None], labels: list[int], weights: list[float] | None = None) -> Field:
+    """A field from labelled documents. ``weights`` undo a sample's proportions in the document scores.
+
+    Texts are read once and held as numbers of tokens.
+    """
+    vocabulary = Vocabulary()
+    return _fit(vocabulary, [vocabulary.numbers(tokens(t)) for t in texts], labels, weights)
+
+
+def _fit(vocabulary: Vocabulary, documents: list[np.ndarray], labels: list[int], weights: list[float] | None = None) -> Field:
     model = Field()
     y = np.array(labels, float)
     importance = np.ones(len(y)) if weights is None else np.array(weights)
     if not len(y) or y.min() == y.max():
         model.scale[0] = 0.0 if not len(y) else 4.0 if y[0] else -4.0
         return model
-    documents = [tokens(t) for t in texts]
-    stripped = [[w.strip(_STRIP) or w for w in d] for d in documents]
-    seen = [Counter(), Counter()]
-    for words, label in zip(stripped, labels, strict=True):
-        seen[label].update(set(words))
-    n0, n1 = (y == 0).sum(), (y == 1).sum()
-    odds = lambda c, n: (c + 0.3) / (n - c + 0.3)
-    around: dict[str, set] = {}  # copies of one document repeat a word's neighbours, and count once
-    for words, label in zip(stripped, labels, strict=True):
-        if label:
-            for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False):
-                around.setdefault(w, set()).add((a, b))
-    marked = {w for w, c in seen[1].items() if len(around[w]) >= LEAST_CONTEXTS and odds(c, n1) / odds(seen[0][w], n0) >= LEAST_ODDS}
-    windows = []
-    for words, raw, label in zip(stripped, documents, labels, strict=True):
-        for a in range(0, len(words), WINDOW):
-            tags = np.array([bool(label) and w in marked for w in words[a : a + WINDOW]])
-            if tags.any() or zlib.crc32(f"{len(windows)}:{a}".encode()) % 16 == 0:
-                windows.append((raw[a : a + WINDOW], tags))
+    stripped = Vocabulary()
+    bare = stripped.numbers([w.strip(_STRIP) or w for w in vocabulary])
+    marked = _marked(documents, y, bare)[bare] if len(bare) else np.zeros(0, bool)
+    windows: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, (ids, label) in enumerate(zip(documents, labels, strict=True)):
+        for a in range(0, len(ids), WINDOW):
+            tags = marked[ids[a : a + WINDOW]] & bool(label)
+            if tags.any() or zlib.crc32(f"{i}:{a}".encode()) % 16 == 0:
+                windows.append((ids[a : a + WINDOW], tags))
     if not any(tags.any() for _, tags in windows):  # nothing to tell the labels apart by
         rate = float((importance * y).sum() / importance.sum())
         model.scale = np.array([np.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
         return model
-    ids = {w: _features(w) for words, _ in windows for w in set(words)}
+    features = np.array([_features(w) for w in vocabulary], np.int32)
     windows.sort(key=lambda x: -len(x[0]))
     longest = max((len(x[0]) for x in windows), default=0)
     shape = (longest, len(windows))
-    feats, tags, mask = np.zeros((*shape, 3), np.int64), np.zeros(shape), np.zeros(shape)
+    feats, tags, mask = np.zeros((*shape, 3), np.int32), np.zeros(shape), np.zeros(shape)
     for j, (words, t) in enumerate(windows):
-        feats[: len(words), j] = [ids[w] for w in words]
+        feats[: len(words), j] = features[words]
         tags[: len(words), j], mask[: len(words), j] = t, 1
     live = mask.sum(1).astype(int)
     used, feats = np.unique(feats, return_inverse=True)
@@ -219,7 +251,11 @@ def fit(texts: list[str | None], labels: list[int], weights: list[float] | None
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         w += 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model.weights[used], model.bias, model.steps = w[: len(used)], float(w[len(used)]), w[len(used) + 1 :].reshape(2, 2).copy()
-    x = np.array([model.summary(q) for q in model.marginals([model.emissions(d) for d in documents])])
+    emission = model.weights[features].sum(1) + model.bias
+    x = np.zeros((len(documents), 3))
+    for at in range(0, len(documents), 500):
+        found = model.marginals([emission[ids] for ids in documents[at : at + 500]])
+        x[at : at + 500] = [model.summary(p) for p in found]
     x = np.hstack([np.ones((len(x), 1)), x])
     loss = lambda b: (importance * np.logaddexp(0, (1 - 2 * y) * (x @ b))).sum() + 0.5 * b @ b
     b = np.zeros(4)
@@ -233,7 +269,6 @@ def fit(texts: list[str | None], labels: list[int], weights: list[float] | None
             break
         b = moved(b + size * step)
     model.scale = b
-    model.table.clear()
     return model
 
 
@@ -248,9 +283,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fo
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    rows = sorted((r["text"] or "", r["toxic"], r["n"]) for r in labelled_sample(docs, labels, sample).collect())
+    """A field from at most ``sample`` rows of either label, which arrive one partition at a time."""
+    vocabulary, rows = Vocabulary(), []
+    for text, label, total in labelled_sample(docs, labels, sample).toLocalIterator():
+        digest = hashlib.sha256((text or "").encode("utf-8", "replace")).digest()
+        rows.append((digest, label, total, vocabulary.numbers(tokens(text))))
+    rows.sort(key=lambda r: r[:3])  # the same order however the rows arrive
     there = Counter(r[1] for r in rows)
-    return fit([r[0] for r in rows], [r[1] for r in rows], [r[2] / there[r[1]] for r in rows] if rows else None)
+    return _fit(vocabulary, [r[3] for r in rows], [r[1] for r in rows], [r[2] / there[r[1]] for r in rows] if rows else None)
 
 
 def tagged(docs: DataFrame, model: Field) -> DataFrame:
