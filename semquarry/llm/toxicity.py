@@ -13,6 +13,7 @@ else covers all rows and whole texts.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -31,6 +32,8 @@ FOLDS, HELD_OUT = 5, 0
 FEATURES = 1 << 18
 WINDOW = 64
 STEPS = 40
+#: Windows of one step of the gradient, which bounds the driver's memory.
+BLOCK = 1024
 TABLE_ENTRIES = 600_000
 #: A word labels tokens toxic if its odds in toxic documents are so many times those elsewhere, and it stands between so many pairs of neighbours there.
 LEAST_ODDS, LEAST_CONTEXTS = 12.0, 5
@@ -110,17 +113,17 @@ class Field:
                 known[word] = float(w[list(_features(word))].sum() + bias)
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
-    def marginals(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+    def marginals(self, rows: list[np.ndarray], padded: int = 2_000_000) -> list[np.ndarray]:
         """Each token's probability of the toxic tag, for whole sequences of emissions.
 
-        Sequences are taken by length, in groups whose padded values stay within a few million.
+        Sequences are taken by length, in groups of at most ``padded`` values or one sequence.
         """
         out: list[np.ndarray] = [np.zeros(0)] * len(rows)
         by_length = sorted((i for i, x in enumerate(rows) if len(x)), key=lambda i: -len(rows[i]))
         at = 0
         while at < len(by_length):
             longest = len(rows[by_length[at]])
-            group = by_length[at : at + max(1, 2_000_000 // longest)]
+            group = by_length[at : at + max(1, padded // longest)]
             at += len(group)
             e, live, order = _padded([rows[i] for i in group])
             p = _sigmoid(_forward_backward(e, live, self.steps)[0])
@@ -223,30 +226,34 @@ def _fit(vocabulary: Vocabulary, documents: list[np.ndarray], labels: list[int],
     for j, (words, t) in enumerate(windows):
         feats[: len(words), j] = features[words]
         tags[: len(words), j], mask[: len(words), j] = t, 1
-    live = mask.sum(1).astype(int)
-    used, feats = np.unique(feats, return_inverse=True)
-    feats = feats.reshape(*shape, 3)
+    used, place = np.unique(feats, return_inverse=True)
+    feats = place.reshape(*shape, 3).astype(np.int32)
+    del place
     w = np.zeros(len(used) + 1 + 4)  # words', the bias, the steps
     w[len(used)] = -4.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     before = np.vstack([np.zeros((1, len(windows))), tags[:-1]])
     gold_steps = np.array([[((before == a) & (tags == b) & (mask > 0)).sum() for b in (0, 1)] for a in (0, 1)], float)
+    del before
+    blocks = [slice(at, at + BLOCK) for at in range(0, len(windows), BLOCK)]
     for step in range(1, STEPS + 1):
-        e = w[feats].sum(2) + w[len(used)]
-        a = w[len(used) + 1 :].reshape(2, 2)
-        odds_, r, s = _forward_backward(e * mask, live, a)
-        p = _sigmoid(odds_) * mask
         gradient = np.zeros_like(w)
-        error = (tags - p) * mask
-        gradient[: len(used)] = np.bincount(feats.ravel(), np.repeat(error.ravel(), 3), len(used))
-        gradient[len(used)] = error.sum()
-        # expected steps: of the tag before, by its forward odds, and the tag after, by its backward odds
-        f1 = np.vstack([np.full((1, len(windows)), -1e9), r[:-1]])
-        pair = np.stack([np.stack([np.full_like(e, a[0, 0]), a[0, 1] + e + s]), np.stack([f1 + a[1, 0], f1 + a[1, 1] + e + s])])
-        pair -= pair.max((0, 1))
-        pair = np.exp(pair)
-        pair = pair / pair.sum((0, 1)) * mask
-        gradient[len(used) + 1 :] = (gold_steps - pair.sum((2, 3))).ravel()
+        a = w[len(used) + 1 :].reshape(2, 2)
+        gradient[len(used) + 1 :] = gold_steps.ravel()
+        for own in blocks:
+            f, on = feats[:, own], mask[:, own]
+            e = w[f].sum(2) + w[len(used)]
+            odds_, r, s = _forward_backward(e * on, on.sum(1).astype(int), a)
+            error = (tags[:, own] - _sigmoid(odds_)) * on
+            gradient[: len(used)] += np.bincount(f.ravel(), np.repeat(error.ravel(), 3), len(used))
+            gradient[len(used)] += error.sum()
+            # expected steps: of the tag before, by its forward odds, and the tag after, by its backward odds
+            f1 = np.vstack([np.full((1, e.shape[1]), -1e9), r[:-1]])
+            pair = np.stack([np.stack([np.full_like(e, a[0, 0]), a[0, 1] + e + s]), np.stack([f1 + a[1, 0], f1 + a[1, 1] + e + s])])
+            pair -= pair.max((0, 1))
+            pair = np.exp(pair)
+            pair = pair / pair.sum((0, 1)) * on
+            gradient[len(used) + 1 :] -= pair.sum((2, 3)).ravel()
         gradient -= 0.02 * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         w += 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -254,7 +261,7 @@ def _fit(vocabulary: Vocabulary, documents: list[np.ndarray], labels: list[int],
     emission = model.weights[features].sum(1) + model.bias
     x = np.zeros((len(documents), 3))
     for at in range(0, len(documents), 500):
-        found = model.marginals([emission[ids] for ids in documents[at : at + 500]])
+        found = model.marginals([emission[ids] for ids in documents[at : at + 500]], 200_000)
         x[at : at + 500] = [model.summary(p) for p in found]
     x = np.hstack([np.ones((len(x), 1)), x])
     loss = lambda b: (importance * np.logaddexp(0, (1 - 2 * y) * (x @ b))).sum() + 0.5 * b @ b
@@ -283,14 +290,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fo
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from at most ``sample`` rows of either label, which arrive one partition at a time."""
-    vocabulary, rows = Vocabulary(), []
-    for text, label, total in labelled_sample(docs, labels, sample).toLocalIterator():
-        digest = hashlib.sha256((text or "").encode("utf-8", "replace")).digest()
-        rows.append((digest, label, total, vocabulary.numbers(tokens(text))))
-    rows.sort(key=lambda r: r[:3])  # the same order however the rows arrive
-    there = Counter(r[1] for r in rows)
-    return _fit(vocabulary, [r[3] for r in rows], [r[1] for r in rows], [r[2] / there[r[1]] for r in rows] if rows else None)
+    """A field from at most ``sample`` rows of either label, fitted in one task; only its weights come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, rows = Vocabulary(), []
+        for batch in batches:
+            for text, label, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest = hashlib.sha256((text or "").encode("utf-8", "replace")).digest()
+                rows.append((digest, label, total, vocabulary.numbers(tokens(text))))
+        rows.sort(key=lambda r: r[:3])  # the same order however the rows arrive
+        there = Counter(r[1] for r in rows)
+        model = _fit(vocabulary, [r[3] for r in rows], [r[1] for r in rows], [r[2] / there[r[1]] for r in rows] if rows else None)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    fitted = labelled_sample(docs, labels, sample).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else fit([], [])
 
 
 def tagged(docs: DataFrame, model: Field) -> DataFrame:
