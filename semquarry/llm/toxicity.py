@@ -303,8 +303,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         model = _fit(vocabulary, [r[3] for r in rows], [r[1] for r in rows], [r[2] / there[r[1]] for r in rows] if rows else None)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    fitted = labelled_sample(docs, labels, sample).repartition(1).mapInArrow(run, "model binary").first()
-    return pickle.loads(fitted["model"]) if fitted else fit([], [])
+    fitted = labelled_sample(docs, labels, sample).repartition(1).mapInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(fitted[0]["model"]) if fitted else fit([], [])
 
 
 def tagged(docs: DataFrame, model: Field) -> DataFrame:
