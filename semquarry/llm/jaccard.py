@@ -45,7 +45,9 @@ SLACK = 0.21
 BLOCK = 512
 #: Of what is still large after ``DEPTH`` splits; a class is sent once for each block of its bucket.
 BUCKET_BLOCK = 1024
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 150_000
+#: Pairs listed, and compared, at once in a task.
+PAIRS, COMPARED = 200_000, 40_000
 
 _RNG = np.random.default_rng(7)
 _ODD = _RNG.integers(1 << 62, size=(2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,13 +144,13 @@ def _candidates(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
                 continue
             at = starts[:-1][sizes == size]
             x, y = np.triu_indices(size, 1)
-            for some in np.array_split(at, max(1, len(at) * len(x) // 500_000)):
+            for some in np.array_split(at, max(1, len(at) * len(x) // PAIRS)):
                 p, q = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
                 apart = side[p] != side[q]
                 whole = np.repeat(frame["i"].to_numpy()[some] == frame["j"].to_numpy()[some], len(x))
                 p, q = p[apart | whole], q[apart | whole]
-                for k in range(0, len(p), 200_000):
-                    u, v = p[k : k + 200_000], q[k : k + 200_000]
+                for k in range(0, len(p), COMPARED):
+                    u, v = p[k : k + COMPARED], q[k : k + COMPARED]
                     near = (coordinates[u] == coordinates[v]).sum(1) >= least * COORDINATES
                     a.append(u[near]), b.append(v[near])
         if a:

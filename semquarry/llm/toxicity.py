@@ -34,7 +34,9 @@ WINDOW = 64
 STEPS = 40
 #: Windows of one step of the gradient, which bounds the driver's memory.
 BLOCK = 1024
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 150_000
+#: Texts scored at once, and values of their padded sequences, which bound a worker's memory.
+AT_ONCE, PADDED = 2000, 500_000
 #: A word labels tokens toxic if its odds in toxic documents are so many times those elsewhere, and it stands between so many pairs of neighbours there.
 LEAST_ODDS, LEAST_CONTEXTS = 12.0, 5
 SPAN_MARGINAL = 0.5
@@ -113,7 +115,7 @@ class Field:
                 known[word] = float(w[list(_features(word))].sum() + bias)
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
-    def marginals(self, rows: list[np.ndarray], padded: int = 2_000_000) -> list[np.ndarray]:
+    def marginals(self, rows: list[np.ndarray], padded: int = PADDED) -> list[np.ndarray]:
         """Each token's probability of the toxic tag, for whole sequences of emissions.
 
         Sequences are taken by length, in groups of at most ``padded`` values or one sequence.
@@ -318,12 +320,14 @@ def tagged(docs: DataFrame, model: Field) -> DataFrame:
     at = rest.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            scores, p = shared.value.scores(texts)
-            spans = [[list(span) for span in shared.value.spans(t, q)] for t, q in zip(texts, p, strict=True)]
-            columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "toxicity", "toxic_spans"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(first, AT_ONCE)
+                texts = batch.column(at).to_pylist()
+                scores, p = shared.value.scores(texts)
+                spans = [[list(span) for span in shared.value.spans(t, q)] for t, q in zip(texts, p, strict=True)]
+                columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "toxicity", "toxic_spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return rest.mapInArrow(run, f"{fields}, toxicity double, toxic_spans array<array<int>>")
