@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, in_blocks, table
+from .common import components, cut, in_blocks, table, tidy
 from .streams import groups, labels, spans
 
 WORDS = 5
@@ -52,7 +52,6 @@ PAIRS, COMPARED = 200_000, 40_000
 _RNG = np.random.default_rng(7)
 _ODD = _RNG.integers(1 << 62, size=(2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-_WORDS: dict[str, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,12 +60,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles. A text of fewer words has one, of all of them; one of none has none."""
+def shingles(text: str | None, words: int = WORDS, known: dict[str, int] | None = None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles. A text of fewer words has one, of all of them; one of none has none.
+
+    ``known`` is a table of words' hashes, kept from text to text.
+    """
     found = text.lower().split() if text else []
     if not found:
         return np.zeros(0, np.uint64)
-    known = _WORDS
+    known = {} if known is None else known
     try:
         h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     except KeyError:
@@ -95,17 +97,18 @@ def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, set_key (null without words), size, coordinates: one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
             keys, sizes, coordinates = [], [], []
             for text in batch.column(2).to_pylist():
-                found = shingles(text)
+                found = shingles(text, known=known)
                 keys.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None)
                 sizes.append(len(found))
                 coordinates.append(embed(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(coordinates, pa.binary())], ["doc_id", "text_key", "set_key", "size", "coordinates"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, set_key long, size int, coordinates binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(tidy(run), f"doc_id {kind}, text_key long, set_key long, size int, coordinates binary")
 
 
 def _children(node: np.ndarray, coordinates: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +133,7 @@ def _split(classes: DataFrame, threshold: float) -> DataFrame:
                 row, child = _children(batch["node"].to_numpy().astype(np.uint64), _matrix(batch["coordinates"]), threshold)
                 yield pd.DataFrame({"node": child.astype(np.int64), "set_key": batch["set_key"].to_numpy()[row]})
 
-    return classes.select("node", "set_key", "coordinates").mapInPandas(run, "node long, set_key long")
+    return classes.select("node", "set_key", "coordinates").mapInPandas(tidy(run), "node long, set_key long")
 
 
 def _candidates(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
@@ -232,7 +235,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     found = in_blocks(found, "set_key", BUCKET_BLOCK).join(coordinates, "set_key")
     found = found.select("node", "i", "j", "side", "set_key", "coordinates").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
     least = threshold - SLACK
-    edges = found.mapInPandas(lambda batches: _candidates(batches, least), "a long, b long")
+    edges = found.mapInPandas(tidy(lambda batches: _candidates(batches, least)), "a long, b long")
     grouped = components(edges)  # (node, component): only classes with a candidate
 
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -242,13 +245,14 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
-            found = [shingles(text) for text in batch.column(1).to_pylist()]
+            found = [shingles(text, known=known) for text in batch.column(1).to_pylist()]
             keep = [i for i, (x, key) in enumerate(zip(found, batch.column(0).to_pylist(), strict=True)) if len(x) and xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) == key]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["set_key", "sets"])
 
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
-    whole = texts.select("set_key", "text").mapInArrow(sets, "set_key long, sets binary")
+    whole = texts.select("set_key", "text").mapInArrow(tidy(sets), "set_key long, sets binary")
     blocks = members.join(whole, "set_key").select("component", "i", "j", "side", "set_key", "copies", "sets")
     blocks = blocks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
@@ -258,7 +262,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
             if made is not None:
                 yield made
 
-    links = cut(blocks.mapInPandas(verified, "a long, b long, links long"))
+    links = cut(blocks.mapInPandas(tidy(verified), "a long, b long, links long"))
     joined = components(links.select("a", "b").where("a <> b"))
     totals = links.groupBy(F.col("a").alias("set_key")).agg(F.sum("links").alias("links"))
     per_class = classes.select("set_key", "copies", "rep").join(totals, "set_key", "left").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left")

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash60, ranked, table
+from .common import cut, hash60, ranked, table, tidy
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CAPACITY = 1024
 END_ID = 2
 #: Bounds of a worker's table of words.
-TABLE_ENTRIES, LONGEST_ENTRY = 800_000, 100
+TABLE_ENTRIES, LONGEST_ENTRY = 200_000, 100
 RANK_BUCKETS = 256
 
 
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, to
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 #: Fixed patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -111,7 +111,7 @@ def labelled(docs: DataFrame) -> DataFrame:
             values = [*random, *ordinary]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array([True] * len(random) + [False] * len(ordinary))], ["value", "random"])
 
-    return docs.select("text").mapInArrow(run, "value string, random boolean")
+    return docs.select("text").mapInArrow(tidy(run), "value string, random boolean")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Models:
@@ -147,7 +147,7 @@ def scan(docs: DataFrame, models: Models | None = None, threshold: float = THRES
             numbers = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
 
 
 def masked(docs: DataFrame, models: Models | None = None, mask: str = "[secret]") -> DataFrame:
@@ -179,7 +179,7 @@ def masked(docs: DataFrame, models: Models | None = None, mask: str = "[secret]"
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else column for i, column in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

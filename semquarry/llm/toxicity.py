@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 SAMPLE = 4000
 FOLDS, HELD_OUT = 5, 0
@@ -34,7 +34,7 @@ WINDOW = 64
 STEPS = 40
 #: Windows of one step of the gradient, which bounds the driver's memory.
 BLOCK = 1024
-TABLE_ENTRIES = 150_000
+TABLE_ENTRIES = 300_000
 #: Texts scored at once, and values of their padded sequences, which bound a worker's memory.
 AT_ONCE, PADDED = 2000, 500_000
 #: A word labels tokens toxic if its odds in toxic documents are so many times those elsewhere, and it stands between so many pairs of neighbours there.
@@ -305,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         model = _fit(vocabulary, [r[3] for r in rows], [r[1] for r in rows], [r[2] / there[r[1]] for r in rows] if rows else None)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    fitted = labelled_sample(docs, labels, sample).repartition(1).mapInArrow(run, "model binary").collect()  # one row
+    fitted = labelled_sample(docs, labels, sample).repartition(1).mapInArrow(tidy(run), "model binary").collect()  # one row
     return pickle.loads(fitted[0]["model"]) if fitted else fit([], [])
 
 
@@ -330,7 +330,7 @@ def tagged(docs: DataFrame, model: Field) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "toxicity", "toxic_spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.mapInArrow(run, f"{fields}, toxicity double, toxic_spans array<array<int>>")
+    return rest.mapInArrow(tidy(run), f"{fields}, toxicity double, toxic_spans array<array<int>>")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
