@@ -137,9 +137,14 @@ def _split(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _candidates(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Forests over the classes of buckets whose embeddings agree enough; within a block pair, only pairs across it."""
+    """Forests over the classes of buckets whose embeddings agree enough.
+
+    A pair of different blocks gives only the edges between what either block links by itself, which the
+    blocks' own tasks give. So a bucket's edges are about as many as its classes, not as its block pairs.
+    """
     for frame, starts in spans(batches, ["node", "i", "j"]):
         coordinates, keys, side = _matrix(frame["coordinates"]), frame["set_key"].to_numpy(), frame["side"].to_numpy()
+        across = frame["i"].to_numpy() != frame["j"].to_numpy()
         sizes = np.diff(starts)
         a, b = [], []
         for size in np.unique(sizes):
@@ -149,16 +154,16 @@ def _candidates(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
             x, y = np.triu_indices(size, 1)
             for some in np.array_split(at, max(1, len(at) * len(x) // PAIRS)):
                 p, q = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
-                apart = side[p] != side[q]
-                whole = np.repeat(frame["i"].to_numpy()[some] == frame["j"].to_numpy()[some], len(x))
-                p, q = p[apart | whole], q[apart | whole]
                 for k in range(0, len(p), COMPARED):
                     u, v = p[k : k + COMPARED], q[k : k + COMPARED]
                     near = (coordinates[u] == coordinates[v]).sum(1) >= least * COORDINATES
                     a.append(u[near]), b.append(v[near])
         if a:
-            label = labels(len(frame), np.concatenate(a), np.concatenate(b))
-            moved = np.flatnonzero(label != np.arange(len(frame)))
+            u, v = np.concatenate(a), np.concatenate(b)
+            given = across[u] & (side[u] == side[v])
+            inside, label = labels(len(frame), u[given], v[given]), labels(len(frame), u, v)
+            nodes = np.arange(len(frame))
+            moved = np.flatnonzero((inside == nodes) & (label != nodes))
             yield pd.DataFrame({"a": keys[moved], "b": keys[label[moved]]}).drop_duplicates()
 
 
