@@ -8,9 +8,9 @@ scored once, with at least WINDOW - SCORED tokens before it where the text has t
 masked attention. The probability of a text is that of its ids, so it is a proper model of texts.
 
 Counts (of words for the base score, of ids for the vocabulary and the model's biases) cover all training
-documents. The weights are trained on the executors in ``ROUNDS`` rounds: in each, every partition takes
-steps over its own windows, drawn by a hash at a fixed ``SHARE`` of the training text and so in proportion
-to the input, and the partitions' weights are averaged, in two steps, by their numbers of tokens.
+documents. The weights are trained on the executors in ``ROUNDS`` rounds, which cover all training documents
+between them: a hash gives each document its round. In a round, every partition takes steps over its own
+windows, and the partitions' weights are averaged, in steps, by their numbers of tokens.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ CLASSES, PER_CLASS = 32, 32
 VOCABULARY = CLASSES * PER_CLASS
 WINDOW, SCORED = 16, 12
 EMBED, HIDDEN = 16, 32
-ROUNDS, SHARE, BATCH, LEAST_STEPS, RATE = 4, 1 / 32, 192, 100, 0.03
+ROUNDS, BATCH, LEAST_STEPS, RATE = 4, 192, 100, 0.03
 TABLE_ENTRIES = 500_000
 #: Words whose counts every task has; the others' are joined. A bound on what is broadcast.
 FREQUENT = 200_000
@@ -201,21 +201,26 @@ class Attention:
         g["embed"] = add(inputs.ravel(), dx.reshape(-1, EMBED), VOCABULARY + 1)
         return total, g
 
-    def train(self, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray, seed: int, rate: float) -> float:
-        """Steps over the windows, at least ``LEAST_STEPS``; the mean log-probability of the last pass."""
+    def train(self, sequence: np.ndarray, lengths: np.ndarray, seed: int, rate: float) -> float:
+        """Steps over the texts' windows, at least ``LEAST_STEPS``; the mean log-probability of the last pass.
+
+        Only a step's own windows are laid out at once.
+        """
+        text, start = window_starts(lengths, WINDOW)
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         step, total, seen = 0, 0.0, 0
-        per_pass = -(-len(inputs) // BATCH)
+        per_pass = -(-len(text) // BATCH)
         passes = -(-LEAST_STEPS // per_pass)
         for _ in range(passes):
             total, seen = 0.0, 0
-            order = rng.permutation(len(inputs))
+            order = rng.permutation(len(text))
             for at in range(0, len(order), BATCH):
                 some = order[at : at + BATCH]
                 step += 1
-                logp, g = self.gradient(inputs[some], targets[some], use[some])
-                total, seen = total + logp, seen + int(use[some].sum())
+                inputs, targets, use = windows_at(sequence, lengths, text[some], start[some])
+                logp, g = self.gradient(inputs, targets, use)
+                total, seen = total + logp, seen + int(use.sum())
                 now = rate * min(1, step / 10) * (1 - 0.8 * step / (passes * per_pass))
                 for name, d in g.items():
                     m[name] += 0.1 * (d - m[name])
@@ -229,22 +234,30 @@ class Attention:
         return out.getvalue()
 
 
+def window_starts(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window's text, place of its first input in the text) of all windows of texts of these lengths."""
+    n = np.maximum(1, -(-(lengths - WINDOW) // stride) + 1)
+    text = np.repeat(np.arange(len(lengths), dtype=np.int32), n)
+    return text, ((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride).astype(np.int32)
+
+
+def windows_at(sequence: np.ndarray, lengths: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, whether a place has a target) of the windows that start there."""
+    starts = np.cumsum(lengths) - lengths
+    place = start[:, None] + np.arange(WINDOW)
+    use = place < lengths[text][:, None]
+    at = np.minimum(starts[text][:, None] + place, max(len(sequence) - 1, 0))
+    return np.where(place == 0, VOCABULARY, sequence[np.maximum(at - 1, 0)].astype(np.int64)), sequence[at].astype(np.int64), use
+
+
 def windows(sequence: np.ndarray, lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, whether a place has a target, whether a window is its text's first).
 
     ``sequence`` holds the texts' outputs one after the other; each text's inputs are its start and all
     but its last output.
     """
-    n = np.maximum(1, -(-(lengths - WINDOW) // stride) + 1)
-    text = np.repeat(np.arange(len(lengths)), n)
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    starts = np.cumsum(lengths) - lengths
-    place = (k * stride)[:, None] + np.arange(WINDOW)
-    use = place < lengths[text][:, None]
-    at = np.minimum(starts[text][:, None] + place, max(len(sequence) - 1, 0))
-    targets = sequence[at]
-    inputs = np.where(place == 0, VOCABULARY, sequence[np.maximum(at - 1, 0)])
-    return inputs, targets, use, k == 0
+    text, start = window_starts(lengths, stride)
+    return *windows_at(sequence, lengths, text, start), start == 0
 
 
 class Outputs:
@@ -317,12 +330,16 @@ def _summed(parts: DataFrame) -> dict[str, np.ndarray]:
     return total
 
 
-def train(training: DataFrame, ids: np.ndarray, texts: int, model: str = MODEL, rounds: int = ROUNDS, share: float = SHARE) -> tuple[Attention, Outputs]:
+def drawn(training: DataFrame, r: int, rounds: int = ROUNDS) -> DataFrame:
+    """The training documents of a round: each is in one of them."""
+    return training.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id", F.length("text")), F.lit(rounds)) == r)
+
+
+def train(training: DataFrame, ids: np.ndarray, texts: int, model: str = MODEL, rounds: int = ROUNDS) -> tuple[Attention, Outputs]:
     """The model of the training texts, of which there are ``texts``, with subword ids so often."""
     spark = training.sparkSession
     outputs = Outputs(ids, texts)
     net = Attention(outputs.counts)
-    slices = round(1 / share)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((net, outputs))  # a fixed number of weights
 
@@ -331,17 +348,17 @@ def train(training: DataFrame, ids: np.ndarray, texts: int, model: str = MODEL,
             words, parts = words_of(model), []
             for batch in batches:
                 numbers, lengths = words.add(batch.column(1).to_pylist())
-                parts.append(windows(*outputs.sequences(*words.subwords(numbers), lengths)[:2], WINDOW)[:3])
+                sequence, size = outputs.sequences(*words.subwords(numbers), lengths)[:2]
+                parts.append((sequence.astype(np.uint16), size))
             if parts:
-                inputs, targets, use = (np.concatenate(x) for x in zip(*parts, strict=True))
+                sequence, size = (np.concatenate(x) for x in zip(*parts, strict=True))
                 own = Attention.__new__(Attention)
                 own.w = {name: x.copy() for name, x in net.w.items()}
-                own.train(inputs, targets, use, r, RATE / (1 + r))
-                n = float(use.sum())
+                own.train(sequence, size, r, RATE / (1 + r))
+                n = float(len(sequence))
                 yield pa.RecordBatch.from_arrays([pa.array([own.pack(n)], pa.binary()), pa.array([n])], ["w", "n"])
 
-        drawn = training.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id", F.length("text")), F.lit(slices)) == r)
-        parts = cut(drawn.select("doc_id", "text").mapInArrow(run, "w binary, n double"))
+        parts = cut(drawn(training, r, rounds).select("doc_id", "text").mapInArrow(run, "w binary, n double"))
         n = parts.agg(F.sum("n")).first()[0]
         if n:
             net.w = {name: (x / n).astype(np.float32) for name, x in _summed(parts.select("w")).items()}

@@ -226,6 +226,11 @@ def test_attention_windows_score_each_token_once_and_sum_to_one():
     assert np.exp(net.logp(inputs, targets, use, attention.WINDOW).astype(float)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_attention_trains_on_every_document_once(docs):
+    seen = Counter(tuple(r) for k in range(attention.ROUNDS) for r in attention.drawn(docs, k).collect())
+    assert seen == Counter(tuple(r) for r in docs.collect())
+
+
 def test_pipeline(spark, docs, labels, tmp_path):
     import corpus_pipeline
 
