@@ -1,9 +1,8 @@
 """Language-model scoring by a small causal self-attention model over subword ids, in numpy.
 
 Texts are lower-cased (A-Z) and split into words at white space, each word into subword ids by a public
-SentencePiece model, and every text ends with an end token. The ``VOCABULARY`` most frequent ids have
-outputs of their own, in ``CLASSES`` classes of equal size (a class, then an id in it); the rest share one,
-and are told apart by their counts. Windows of ``WINDOW`` inputs move by ``SCORED``, so that each token is
+SentencePiece model, and every text ends with an end token. Every id has an embedding and an output of its
+own, in ``CLASSES`` classes of equal size (a class, then an id in it). Windows of ``WINDOW`` inputs move by ``SCORED``, so that each token is
 scored once, with at least WINDOW - SCORED tokens before it where the text has them; a batch's windows share one
 masked attention. The probability of a text is that of its ids, so it is a proper model of texts.
 
@@ -30,7 +29,7 @@ from .common import cut, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 FOLDS, HELD_OUT = 7, 2
-CLASSES, PER_CLASS = 32, 32
+CLASSES, PER_CLASS = 128, 256
 VOCABULARY = CLASSES * PER_CLASS
 WINDOW, SCORED = 16, 12
 EMBED, HIDDEN = 16, 32
@@ -102,6 +101,13 @@ def _softmax_error(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray,
     return logp, p
 
 
+def _by_id(ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids that occur, the sums of their rows of ``d``)."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    return ids[order[first]], np.add.reduceat(d[order], first, 0)
+
+
 class Attention:
     """Weights, forward pass and gradient. Input ``VOCABULARY`` is the start of a text."""
 
@@ -145,10 +151,10 @@ class Attention:
         np.minimum(z, 80, out=z)
         out = z[at, c]
         out -= np.log(np.exp(z, out=z).sum(1))
-        order = np.argsort(c.astype(np.int8), kind="stable")
+        order = np.argsort(c.astype(np.int16), kind="stable")
         edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
         h = h[order]
-        inner = np.empty(len(target), np.float32)
+        inner = np.empty(len(target), h.dtype)
         for i in range(CLASSES):
             a, b = edges[i], edges[i + 1]
             if a < b:
@@ -160,10 +166,12 @@ class Attention:
         out[order] += inner
         return out
 
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray) -> tuple[float, dict]:
+        """(log-probability, gradients): of embeddings and classes only those that occur, as (numbers, gradients)."""
         w = self.w
         x, xq, q, k, v, lag, a, o, h = self._hidden(inputs, WINDOW)
-        hu, target = h[use], targets[use]
+        by_class = np.argsort(targets[use], kind="stable")
+        hu, target = h[use][by_class], targets[use][by_class]
         c, m = target // PER_CLASS, target % PER_CLASS
         g = {}
         logp, e = _softmax_error(hu @ w["class"] + w["class_b"], c)
@@ -171,21 +179,23 @@ class Attention:
         e /= len(target)
         g["class"], g["class_b"] = hu.T @ e, e.sum(0)
         dh = e @ w["class"].T
-        g["in"], g["in_b"] = np.zeros_like(w["in"]), np.zeros_like(w["in_b"])
-        for i in range(CLASSES):
-            own = np.flatnonzero(c == i)
-            if len(own):
-                logp, e = _softmax_error(hu[own] @ w["in"][i] + w["in_b"][i], m[own])
-                total += float(logp.sum())
-                e /= len(target)
-                g["in"][i], g["in_b"][i] = hu[own].T @ e, e.sum(0)
-                dh[own] += e @ w["in"][i].T
+        edges = np.searchsorted(c, np.arange(CLASSES + 1))
+        seen = np.flatnonzero(np.diff(edges))
+        g["in"], g["in_b"] = (seen, np.empty((len(seen), HIDDEN, PER_CLASS), h.dtype)), (seen, np.empty((len(seen), PER_CLASS), h.dtype))
+        for j, i in enumerate(seen):
+            own = slice(edges[i], edges[i + 1])
+            logp, e = _softmax_error(hu[own] @ w["in"][i] + w["in_b"][i], m[own])
+            total += float(logp.sum())
+            e /= len(target)
+            g["in"][1][j], g["in_b"][1][j] = hu[own].T @ e, e.sum(0)
+            dh[own] += e @ w["in"][i].T
+        back = np.empty_like(dh)
+        back[by_class] = dh
         full = np.zeros_like(h)
-        full[use] = dh
+        full[use] = back
         dz = full * (h > 0)
         flat = dz.reshape(-1, HIDDEN)
-        add = lambda ids, d, n: np.stack([np.bincount(ids, d[:, j], n) for j in range(d.shape[1])], 1).astype(np.float32)
-        g["near"], g["b"], g["o"] = add(inputs.ravel(), flat, VOCABULARY + 1), flat.sum(0), o.reshape(-1, EMBED).T @ flat
+        g["near"], g["b"], g["o"] = _by_id(inputs.ravel(), flat), flat.sum(0), o.reshape(-1, EMBED).T @ flat
         do = dz @ w["o"].T
         dv, da = a.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(2, keepdims=True))
@@ -198,7 +208,7 @@ class Attention:
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
             g[name] = xf.T @ d.reshape(-1, EMBED)
         g["place"] = dx.sum(0)
-        g["embed"] = add(inputs.ravel(), dx.reshape(-1, EMBED), VOCABULARY + 1)
+        g["embed"] = _by_id(inputs.ravel(), dx.reshape(-1, EMBED))
         return total, g
 
     def train(self, sequence: np.ndarray, lengths: np.ndarray, seed: int, rate: float) -> float:
@@ -223,14 +233,19 @@ class Attention:
                 total, seen = total + logp, seen + int(use.sum())
                 now = rate * min(1, step / 10) * (1 - 0.8 * step / (passes * per_pass))
                 for name, d in g.items():
-                    m[name] += 0.1 * (d - m[name])
-                    v[name] += 0.01 * (d * d - v[name])
-                    self.w[name] -= (now / (1 - 0.9**step)) * m[name] / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-7)
+                    at_, d = d if isinstance(d, tuple) else (slice(None), d)
+                    m[name][at_] = m_ = m[name][at_] * np.float32(0.9) + d * np.float32(0.1)
+                    v[name][at_] = v_ = v[name][at_] * np.float32(0.99) + d * d * np.float32(0.01)
+                    v_ = np.sqrt(v_ / np.float32(1 - 0.99**step))
+                    v_ += np.float32(1e-7)
+                    m_ *= np.float32(now / (1 - 0.9**step))
+                    m_ /= v_
+                    self.w[name][at_] -= m_
         return total / max(seen, 1)
 
     def pack(self, weight: float) -> bytes:
         out = io.BytesIO()
-        np.savez(out, **{name: (x * weight).astype(np.float64) for name, x in self.w.items()})
+        np.savez(out, **{name: x * np.float32(weight) for name, x in self.w.items()})
         return out.getvalue()
 
 
@@ -261,30 +276,24 @@ def windows(sequence: np.ndarray, lengths: np.ndarray, stride: int) -> tuple[np.
 
 
 class Outputs:
-    """Ids' outputs: the most frequent have their own, the rest share one; the last two are rest and end."""
+    """Ids' outputs, dealt to the classes by rank; the end of a text comes after the ids."""
 
     def __init__(self, counts: np.ndarray, texts: int):
-        top = np.argsort(-counts, kind="stable")[: VOCABULARY - 2]
+        if len(counts) >= VOCABULARY:
+            raise ValueError(f"{len(counts)} subword ids, outputs for {VOCABULARY - 1}")
         order = np.argsort(np.arange(VOCABULARY) % CLASSES, kind="stable")  # deals ranks to classes
         slot = np.empty(VOCABULARY, np.int64)
         slot[order] = np.arange(VOCABULARY)
-        self.of = np.full(len(counts), slot[VOCABULARY - 2], np.int64)
-        self.of[top] = slot[: len(top)]
-        self.rest, self.end = int(slot[VOCABULARY - 2]), int(slot[VOCABULARY - 1])
-        others = np.ones(len(counts), bool)
-        others[top] = False
-        self.extra = np.where(others, np.log((counts + 1) / (counts[others] + 1).sum()), 0.0)
+        self.of = np.empty(len(counts), np.int64)
+        self.of[np.argsort(-counts, kind="stable")] = slot[: len(counts)]
+        self.end = int(slot[len(counts)])
         self.counts = np.bincount(self.of, counts, VOCABULARY)
         self.counts[self.end] = texts
 
-    def sequences(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(outputs with ends, texts' lengths in outputs, natural log of what tells the rest's ids apart, by text)."""
-        words_end = np.cumsum(lengths)
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ends = upto[words_end]
-        out = np.insert(self.of[ids], ends, self.end)
-        extra = np.concatenate([[0], np.cumsum(self.extra[ids])])[ends]
-        return out, np.diff(ends, prepend=0) + 1, np.diff(extra, prepend=0)
+    def sequences(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(outputs with ends, texts' lengths in outputs)."""
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lengths)]
+        return np.insert(self.of[ids], ends, self.end), np.diff(ends, prepend=0) + 1
 
 
 def _training(docs: DataFrame) -> DataFrame:
@@ -310,24 +319,21 @@ def counted(training: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def _summed(parts: DataFrame) -> dict[str, np.ndarray]:
-    """The sum of archives of arrays (column w), in two steps; the driver gets eight."""
+    """The sum of archives of arrays (column w), in two steps; the driver gets one."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                for name, x in np.load(io.BytesIO(blob)).items():
-                    total[name] = total.get(name, 0) + x
+            for blob in batch.column(0):
+                for name, x in np.load(io.BytesIO(blob.as_py())).items():
+                    total[name] = total.get(name, 0) + x.astype(np.float64)
         if total:
             out = io.BytesIO()
             np.savez(out, **total)
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["w"])
 
-    total: dict[str, np.ndarray] = {}
-    for row in parts.repartition(8).mapInArrow(add, "w binary").collect():
-        for name, x in np.load(io.BytesIO(row["w"])).items():
-            total[name] = total.get(name, 0) + x
-    return total
+    found = parts.repartition(8).mapInArrow(add, "w binary").repartition(1).mapInArrow(add, "w binary").first()
+    return dict(np.load(io.BytesIO(found["w"])))
 
 
 def drawn(training: DataFrame, r: int, rounds: int = ROUNDS) -> DataFrame:
@@ -348,7 +354,7 @@ def train(training: DataFrame, ids: np.ndarray, texts: int, model: str = MODEL,
             words, parts = words_of(model), []
             for batch in batches:
                 numbers, lengths = words.add(batch.column(1).to_pylist())
-                sequence, size = outputs.sequences(*words.subwords(numbers), lengths)[:2]
+                sequence, size = outputs.sequences(*words.subwords(numbers), lengths)
                 parts.append((sequence.astype(np.uint16), size))
             if parts:
                 sequence, size = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -369,8 +375,8 @@ def score_texts(texts: list[str | None], net: Attention, outputs: Outputs, model
     """log10 probability of each whole text."""
     words = words_of(model)
     numbers, lengths = words.add(texts)
-    sequence, size, extra = outputs.sequences(*words.subwords(numbers), lengths)
-    total = extra.copy()
+    sequence, size = outputs.sequences(*words.subwords(numbers), lengths)
+    total = np.zeros(len(size))
     text_of = np.repeat(np.arange(len(size)), size)
     inputs, targets, use, first = windows(sequence, size, SCORED)
     n = np.maximum(1, -(-(size - WINDOW) // SCORED) + 1)

@@ -231,6 +231,35 @@ def test_attention_trains_on_every_document_once(docs):
     assert seen == Counter(tuple(r) for r in docs.collect())
 
 
+def test_attention_tells_rare_ids_apart():
+    counts = np.arange(32_000) % 7
+    outputs = attention.Outputs(counts, 10)
+    assert len({*outputs.of, outputs.end}) == len(counts) + 1
+    sequence, size = outputs.sequences(np.array([5, 31_999, 14, 14, 21]), np.array([2, 1, 2]), np.array([1, 2]))
+    assert list(size) == [3, 4] and len(set(sequence)) == 5
+
+
+def test_attention_gradient_against_differences():
+    rng = np.random.default_rng(4)
+    outputs = attention.Outputs(rng.integers(0, 9, 32_000), 10)
+    net = attention.Attention(outputs.counts)
+    net.w = {name: x.astype(np.float64) for name, x in net.w.items()}
+    inputs, targets, use, _ = attention.windows(outputs.of[rng.integers(0, 32_000, 70)], np.array([41, 29]), attention.WINDOW)
+    _, g = net.gradient(inputs, targets, use)
+    loss = lambda: -net.logp(inputs, targets, use, attention.WINDOW).astype(float).mean()
+    for name, d in g.items():
+        at = (slice(None), d) if not isinstance(d, tuple) else d
+        k = np.unravel_index(np.abs(at[1]).argmax(), at[1].shape)
+        where = k if not isinstance(d, tuple) else (at[0][k[0]], *k[1:])
+        before = net.w[name][where]
+        net.w[name][where] = before + 1e-4
+        up = loss()
+        net.w[name][where] = before - 1e-4
+        down = loss()
+        net.w[name][where] = before
+        assert (up - down) / 2e-4 == pytest.approx(at[1][k], rel=0.02, abs=1e-5), name
+
+
 def test_pipeline(spark, docs, labels, tmp_path):
     import corpus_pipeline
 
