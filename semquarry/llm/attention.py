@@ -3,8 +3,8 @@
 Texts are lower-cased (A-Z) and split into words at white space, each word into subword ids by a public
 SentencePiece model, and every text ends with an end token. Every id has an embedding and an output of its
 own, in ``CLASSES`` classes of equal size (a class, then an id in it). Windows of ``WINDOW`` inputs move by ``SCORED``, so that each token is
-scored once, with at least WINDOW - SCORED tokens before it where the text has them; a batch's windows share one
-masked attention. The probability of a text is that of its ids, so it is a proper model of texts.
+scored once, with at least WINDOW - SCORED tokens before it where the text has them, in training too; a batch's
+windows share one masked attention. The probability of a text is that of its ids, so it is a proper model of texts.
 
 Counts (of words for the base score, of ids for the vocabulary and the model's biases) cover all training
 documents. The weights are trained on the executors in ``ROUNDS`` rounds, which cover all training documents
@@ -31,7 +31,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 FOLDS, HELD_OUT = 7, 2
 CLASSES, PER_CLASS = 128, 256
 VOCABULARY = CLASSES * PER_CLASS
-WINDOW, SCORED = 16, 12
+WINDOW, SCORED = 32, 16
 EMBED, HIDDEN = 16, 32
 ROUNDS, BATCH, LEAST_STEPS, RATE = 4, 192, 100, 0.03
 TABLE_ENTRIES = 500_000
@@ -108,6 +108,22 @@ def _by_id(ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[order[first]], np.add.reduceat(d[order], first, 0)
 
 
+def _step(m: np.ndarray, v: np.ndarray, d: np.ndarray, rate: float, step: int) -> np.ndarray:
+    """What an Adam step takes off the weights; the moments ``m`` and ``v`` are brought up to date in place."""
+    d = d * np.float32(0.1)
+    m *= np.float32(0.9)
+    m += d
+    d *= d  # 0.01 times the gradient's square
+    v *= np.float32(0.99)
+    v += d
+    np.sqrt(v, out=d)
+    d *= np.float32((1 - 0.99**step) ** -0.5)
+    d += np.float32(1e-7)
+    np.divide(m, d, out=d)
+    d *= np.float32(rate / (1 - 0.9**step))
+    return d
+
+
 class Attention:
     """Weights, forward pass and gradient. Input ``VOCABULARY`` is the start of a text."""
 
@@ -166,10 +182,13 @@ class Attention:
         out[order] += inner
         return out
 
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray) -> tuple[float, dict]:
-        """(log-probability, gradients): of embeddings and classes only those that occur, as (numbers, gradients)."""
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray, queries: int) -> tuple[float, dict]:
+        """(log-probability, gradients) of the used targets of the windows' last ``queries`` places.
+
+        Of embeddings and classes there are only those that occur, as (numbers, gradients).
+        """
         w = self.w
-        x, xq, q, k, v, lag, a, o, h = self._hidden(inputs, WINDOW)
+        x, xq, q, k, v, lag, a, o, h = self._hidden(inputs, queries)
         by_class = np.argsort(targets[use], kind="stable")
         hu, target = h[use][by_class], targets[use][by_class]
         c, m = target // PER_CLASS, target % PER_CLASS
@@ -195,18 +214,18 @@ class Attention:
         full[use] = back
         dz = full * (h > 0)
         flat = dz.reshape(-1, HIDDEN)
-        g["near"], g["b"], g["o"] = _by_id(inputs.ravel(), flat), flat.sum(0), o.reshape(-1, EMBED).T @ flat
+        g["near"], g["b"], g["o"] = _by_id(inputs[:, WINDOW - queries :].ravel(), flat), flat.sum(0), o.reshape(-1, EMBED).T @ flat
         do = dz @ w["o"].T
         dv, da = a.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(2, keepdims=True))
         summed = ds.sum(0)
-        g["lag"] = np.array([np.trace(summed, -j) for j in range(WINDOW)], np.float32)
+        g["lag"] = np.bincount(lag[lag >= 0], summed[lag >= 0], WINDOW).astype(h.dtype)
         ds *= np.float32(EMBED**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-        xf = x.reshape(-1, EMBED)
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = xf.T @ d.reshape(-1, EMBED)
+        dx = dk @ w["k"].T + dv @ w["v"].T
+        dx[:, WINDOW - queries :] += dq @ w["q"].T
+        for name, of, d in (("q", xq, dq), ("k", x, dk), ("v", x, dv)):
+            g[name] = of.reshape(-1, EMBED).T @ d.reshape(-1, EMBED)
         g["place"] = dx.sum(0)
         g["embed"] = _by_id(inputs.ravel(), dx.reshape(-1, EMBED))
         return total, g
@@ -216,37 +235,39 @@ class Attention:
 
         Only a step's own windows are laid out at once.
         """
-        text, start = window_starts(lengths, WINDOW)
+        text, start = window_starts(lengths, SCORED)
+        kinds = [(np.flatnonzero(start == 0), WINDOW, BATCH * SCORED // WINDOW), (np.flatnonzero(start), SCORED, BATCH)]
+        starts = np.cumsum(lengths) - lengths
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         step, total, seen = 0, 0.0, 0
-        per_pass = -(-len(text) // BATCH)
+        per_pass = sum(-(-len(own) // batch) for own, _, batch in kinds)
         passes = -(-LEAST_STEPS // per_pass)
         for _ in range(passes):
             total, seen = 0.0, 0
-            order = rng.permutation(len(text))
-            for at in range(0, len(order), BATCH):
-                some = order[at : at + BATCH]
+            steps = [(own[at : at + batch], queries) for own, queries, batch in ((rng.permutation(own), queries, batch) for own, queries, batch in kinds) for at in range(0, len(own), batch)]
+            for at in rng.permutation(len(steps)):
+                some, queries = steps[at]
                 step += 1
-                inputs, targets, use = windows_at(sequence, lengths, text[some], start[some])
-                logp, g = self.gradient(inputs, targets, use)
+                inputs, targets, use = windows_at(sequence, lengths, starts, text[some], start[some])
+                targets, use = targets[:, WINDOW - queries :], use[:, WINDOW - queries :]
+                logp, g = self.gradient(inputs, targets, use, queries)
                 total, seen = total + logp, seen + int(use.sum())
                 now = rate * min(1, step / 10) * (1 - 0.8 * step / (passes * per_pass))
                 for name, d in g.items():
-                    at_, d = d if isinstance(d, tuple) else (slice(None), d)
-                    m[name][at_] = m_ = m[name][at_] * np.float32(0.9) + d * np.float32(0.1)
-                    v[name][at_] = v_ = v[name][at_] * np.float32(0.99) + d * d * np.float32(0.01)
-                    v_ = np.sqrt(v_ / np.float32(1 - 0.99**step))
-                    v_ += np.float32(1e-7)
-                    m_ *= np.float32(now / (1 - 0.9**step))
-                    m_ /= v_
-                    self.w[name][at_] -= m_
+                    of, d = d if isinstance(d, tuple) else (None, d)
+                    if of is None or len(of) == len(self.w[name]):  # all rows: some at a time, in place
+                        for i in range(0, len(d), 8) if d.ndim == 3 else [slice(None)]:
+                            i = slice(i, i + 8) if d.ndim == 3 else i
+                            self.w[name][i] -= _step(m[name][i], v[name][i], d[i], now, step)
+                    else:
+                        m_, v_ = m[name][of], v[name][of]
+                        self.w[name][of] -= _step(m_, v_, d, now, step)
+                        m[name][of], v[name][of] = m_, v_
         return total / max(seen, 1)
 
-    def pack(self, weight: float) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, **{name: x * np.float32(weight) for name, x in self.w.items()})
-        return out.getvalue()
+    def moved(self, start: Attention) -> dict[str, np.ndarray]:
+        return {name: x - start.w[name] for name, x in self.w.items()}
 
 
 def window_starts(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,9 +277,8 @@ def window_starts(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndar
     return text, ((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride).astype(np.int32)
 
 
-def windows_at(sequence: np.ndarray, lengths: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, whether a place has a target) of the windows that start there."""
-    starts = np.cumsum(lengths) - lengths
+def windows_at(sequence: np.ndarray, lengths: np.ndarray, starts: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, whether a place has a target) of the windows that start there; ``starts`` are the texts'."""
     place = start[:, None] + np.arange(WINDOW)
     use = place < lengths[text][:, None]
     at = np.minimum(starts[text][:, None] + place, max(len(sequence) - 1, 0))
@@ -272,7 +292,7 @@ def windows(sequence: np.ndarray, lengths: np.ndarray, stride: int) -> tuple[np.
     but its last output.
     """
     text, start = window_starts(lengths, stride)
-    return *windows_at(sequence, lengths, text, start), start == 0
+    return *windows_at(sequence, lengths, np.cumsum(lengths) - lengths, text, start), start == 0
 
 
 class Outputs:
@@ -318,22 +338,24 @@ def counted(training: DataFrame, model: str = MODEL) -> DataFrame:
     return training.select("text").mapInArrow(run, "subword boolean, key long, count long").groupBy("subword", "key").agg(F.sum("count").alias("count"))
 
 
-def _summed(parts: DataFrame) -> dict[str, np.ndarray]:
-    """The sum of archives of arrays (column w), in two steps; the driver gets one."""
+def _packed(moves: dict[str, np.ndarray], n: float) -> pa.RecordBatch:
+    """One row: the weights' moves, as half floats, and the number of tokens that they count for."""
+    out = io.BytesIO()
+    np.savez(out, **{name: x.astype(np.float16) for name, x in moves.items()})
+    return pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary()), pa.array([n])], ["w", "n"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for blob in batch.column(0):
-                for name, x in np.load(io.BytesIO(blob.as_py())).items():
-                    total[name] = total.get(name, 0) + x.astype(np.float64)
-        if total:
-            out = io.BytesIO()
-            np.savez(out, **total)
-            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["w"])
 
-    found = parts.repartition(8).mapInArrow(add, "w binary").repartition(1).mapInArrow(add, "w binary").first()
-    return dict(np.load(io.BytesIO(found["w"])))
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of the rows' moves by their tokens, one row; none of no rows."""
+    total: dict[str, np.ndarray] = {}
+    tokens = 0.0
+    for batch in batches:
+        for blob, n in zip(*batch.columns, strict=True):
+            tokens += n.as_py()
+            for name, x in np.load(io.BytesIO(blob.as_buffer())).items():
+                total[name] = total.get(name, 0) + x.astype(np.float64) * n.as_py()
+    if total:
+        yield _packed({name: x / tokens for name, x in total.items()}, tokens)
 
 
 def drawn(training: DataFrame, r: int, rounds: int = ROUNDS) -> DataFrame:
@@ -361,13 +383,14 @@ def train(training: DataFrame, ids: np.ndarray, texts: int, model: str = MODEL,
                 own = Attention.__new__(Attention)
                 own.w = {name: x.copy() for name, x in net.w.items()}
                 own.train(sequence, size, r, RATE / (1 + r))
-                n = float(len(sequence))
-                yield pa.RecordBatch.from_arrays([pa.array([own.pack(n)], pa.binary()), pa.array([n])], ["w", "n"])
-
-        parts = cut(drawn(training, r, rounds).select("doc_id", "text").mapInArrow(run, "w binary, n double"))
-        n = parts.agg(F.sum("n")).first()[0]
-        if n:
-            net.w = {name: (x / n).astype(np.float32) for name, x in _summed(parts.select("w")).items()}
+                yield _packed(own.moved(net), float(len(sequence)))
+
+        parts = drawn(training, r, rounds).select("doc_id", "text").mapInArrow(run, "w binary, n double")
+        parts = parts.repartition(8).mapInArrow(_averaged, "w binary, n double")
+        found = parts.repartition(1).mapInArrow(_averaged, "w binary, n double").first()
+        shared.destroy()
+        if found:
+            net.w = {name: net.w[name] + x for name, x in np.load(io.BytesIO(found["w"])).items()}
     return net, outputs
 
 

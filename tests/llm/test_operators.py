@@ -231,6 +231,21 @@ def test_attention_trains_on_every_document_once(docs):
     assert seen == Counter(tuple(r) for r in docs.collect())
 
 
+def test_attention_learns_what_follows_across_windows():
+    assert attention.WINDOW >= 2 * attention.SCORED  # half a window before each token, at least
+    rng = np.random.default_rng(5)
+    outputs = attention.Outputs(np.ones(32_000), 10)
+    net, trained = attention.Attention(outputs.counts), []
+    net.gradient = lambda inputs, targets, use, queries, of=net.gradient: trained.append((inputs, targets, use, queries)) or of(inputs, targets, use, queries)
+    lengths = np.array([1, 5, 100, 33])
+    sequence = rng.permutation(139)
+    net.train(sequence.astype(np.uint16), lengths, 1, 0.01)
+    seen = Counter(t for _, targets, use, _ in trained for t in targets[use])
+    assert set(seen) == set(sequence) and len(set(seen.values())) == 1  # each place is a target, equally often
+    assert all(inputs[:, 0].max() < attention.VOCABULARY for inputs, _, _, queries in trained if queries < attention.WINDOW)
+    assert all((inputs[:, 0] == attention.VOCABULARY).all() for inputs, _, _, queries in trained if queries == attention.WINDOW)
+
+
 def test_attention_tells_rare_ids_apart():
     counts = np.arange(32_000) % 7
     outputs = attention.Outputs(counts, 10)
@@ -244,9 +259,11 @@ def test_attention_gradient_against_differences():
     outputs = attention.Outputs(rng.integers(0, 9, 32_000), 10)
     net = attention.Attention(outputs.counts)
     net.w = {name: x.astype(np.float64) for name, x in net.w.items()}
-    inputs, targets, use, _ = attention.windows(outputs.of[rng.integers(0, 32_000, 70)], np.array([41, 29]), attention.WINDOW)
-    _, g = net.gradient(inputs, targets, use)
-    loss = lambda: -net.logp(inputs, targets, use, attention.WINDOW).astype(float).mean()
+    inputs, targets, use, _ = attention.windows(outputs.of[rng.integers(0, 32_000, 70)], np.array([41, 29]), attention.SCORED)
+    queries = attention.SCORED
+    targets, use = targets[:, -queries:], use[:, -queries:]
+    _, g = net.gradient(inputs, targets, use, queries)
+    loss = lambda: -net.logp(inputs, targets, use, queries).astype(float).mean()
     for name, d in g.items():
         at = (slice(None), d) if not isinstance(d, tuple) else d
         k = np.unravel_index(np.abs(at[1]).argmax(), at[1].shape)
