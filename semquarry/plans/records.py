@@ -44,7 +44,7 @@ def feature_compare(spark, d):
 @query()
 def near_semantic_join(spark, d):
     parts = F.split(sem.near_fingerprint("sem"), r"\|")
-    near = objects(spark, d).where("id % 20 < 2").select("id", parts.alias("p")).select("id", F.col("p")[0].alias("hard"), F.slice("p", 2, 10000).alias("tokens"))
+    near = objects(spark, d).select("id", parts.alias("p")).select("id", F.col("p")[0].alias("hard"), F.slice("p", 2, 10000).alias("tokens"))
     return retrieval.near_semantic(near.where("id % 2 = 0").withColumnRenamed("id", "left_id"), near.where("id % 2 = 1").withColumnRenamed("id", "right_id"), "left_id", "right_id")
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 from pathlib import Path
 
 import duckdb
@@ -91,6 +92,23 @@ def test_near_semantic(spark):
     assert {(r["l"], r["r"]) for r in retrieval.near_semantic(a, b, "l", "r").collect()} == {(1, 5), (2, 7)}
 
 
+def test_near_semantic_matches_all_objects(spark):
+    found = catalog.QUERIES["near_semantic_join"](spark, SF).toPandas()
+    want = duck("SELECT a.o_orderkey * 2 AS l, b.o_orderkey * 2 + 1 AS r FROM orders a JOIN orders b ON a.o_custkey % 50 = b.o_custkey % 50 AND floor(a.o_totalprice / 1000) = floor(b.o_totalprice / 1000) AND (a.o_orderkey % 5 = 0) = (b.o_orderkey % 5 = 0) AND (a.o_orderkey % 3 = 0) = (b.o_orderkey % 3 = 0)")
+    assert sorted(zip(found["left_id"], found["right_id"], strict=True)) == sorted(zip(want["l"], want["r"], strict=True))
+    assert (found["similarity"] >= 0.8).all()
+
+
+def test_near_semantic_equals_all_pairs(spark):
+    rng = random.Random(1)
+    sides = [[(i, "hg"[i % 2], rng.choices("abcdefgh", k=rng.randrange(9))) for i in range(80)] for _ in range(2)]
+    a, b = (spark.createDataFrame(rows, f"{name} int, hard string, tokens array<string>") for name, rows in zip("lr", sides, strict=True))
+    jaccard = lambda x, y: len({*x} & {*y}) / len({*x} | {*y}) if x or y else 1.0
+    for least in (0.3, 0.6, 2 / 3, 0.8, 1.0):
+        want = sorted((i, j) for i, h, x in sides[0] for j, g, y in sides[1] if h == g and round(jaccard(x, y), 6) >= least)
+        assert sorted((r["l"], r["r"]) for r in retrieval.near_semantic(a, b, "l", "r", least).collect()) == want
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text(json.dumps({"goldSem": OBJECT}) + "\n\nbroken{\n")
     lines = jsonl.read_lines(spark, str(tmp_path))
