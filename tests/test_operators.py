@@ -86,6 +86,14 @@ def test_lineage_with_a_cycle(spark):
     assert {(r["ancestor"], r["node"], r["depth"]) for r in ordering.lineage(edges, "p", "c").collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1), (2, 1, 2), (3, 1, 1), (3, 2, 2)}
 
 
+def test_lineage_of_a_long_chain(spark):
+    n = 150
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(0, 0), (0, 40), (n, 100)], "p int, c int")
+    found = {(r["ancestor"], r["node"]): r["depth"] for r in ordering.lineage(edges, "p", "c").collect()}
+    assert found[1, n] == n - 1 and found[0, n] == n - 39 and found[n, 100] == 1 and (120, 110) in found
+    assert len(found) == n * (n + 1) // 2 + 51 * 50 // 2 and (0, 0) not in found
+
+
 def test_near_semantic(spark):
     a = spark.createDataFrame([(1, "h", ["a", "b"]), (2, "g", [])], "l int, hard string, tokens array<string>")
     b = spark.createDataFrame([(5, "h", ["a", "b"]), (6, "h", ["x"]), (7, "g", [])], "r int, hard string, tokens array<string>")
