@@ -3,7 +3,9 @@
 Two first-order models over characters are trained from labelled samples. A token's log-likelihood
 ratio per character between them says whether it looks drawn at random. The labelled samples are of the
 corpus itself: what follows the fixed patterns' keywords and markers is labelled random, other tokens of
-documents without any such match are ordinary. Of each label the ``SAMPLE`` values of smallest hash are
+documents without any such match are ordinary. Tokens of any length and of any characters are trained on and
+scored alike; a token is reported when its mean ratio is above ``THRESHOLD`` and its whole ratio is at least what
+``SHORTEST`` characters at that mean have, so that a shorter token must look more random to be as sure. Of each label the ``SAMPLE`` values of smallest hash are
 taken (fewer, if there are fewer), each distinct value once; this bound is a parameter.
 """
 
@@ -27,7 +29,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # as runs of 32 or more: a shorter run holds no longer one
 KINDS = ("assign", "access", "hex", "markov")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SAMPLE = 20_000
 SHORTEST = 16
@@ -38,6 +40,7 @@ SMOOTHING, BACKOFF = 0.5, 5.0
 
 _CODE = np.full(256, 0, np.uint8)
 _CODE[[ord(c) for c in ALPHABET]] = range(1, len(ALPHABET) + 1)
+_INSIDE = np.array([CANDIDATE.match(chr(c)) is not None for c in range(256)])
 _STATES = len(ALPHABET) + 1  # 0: the start, and any other character
 
 
@@ -81,18 +84,23 @@ def _codes(token: str) -> np.ndarray:
 
 
 def _mixed(token: str) -> bool:
-    """Whether a token holds a digit and letters, or both cases beyond its first letter: what words of a text don't."""
+    """Whether a token holds a digit and a letter. Only tests ask; no token is left out for it."""
     return any(map(str.isdigit, token)) and any(map(str.isalpha, token))
 
 
 def markov_spans(text: str, base: list[tuple[int, int, int]], models: Models, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """(start, kind, end) of tokens that look random and overlap no fixed pattern's match."""
-    found = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if _mixed(m[0]) and models.score(m[0]) > threshold and not any(a < end and start < b for start, _, end in base):
-            found.append((a, 3, b))
-    return found
+    data = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], _INSIDE[data], [False]]))).reshape(-1, 2)
+    if not len(edges):
+        return []
+    codes = _CODE[data]
+    before = np.concatenate([np.zeros(1, np.uint8), codes[:-1]])
+    before[edges[:, 0]] = 0
+    upto = np.concatenate([[0], np.cumsum(models.ratio[before, codes])])
+    size, total = edges[:, 1] - edges[:, 0], upto[edges[:, 1]] - upto[edges[:, 0]]
+    likely = edges[(total > threshold * size) & (total > threshold * SHORTEST)].tolist()
+    return [(a, 3, b) for a, b in likely if not any(a < end and start < b for start, _, end in base)]
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -107,7 +115,7 @@ def labelled(docs: DataFrame) -> DataFrame:
                     value = text[start:end]
                     random.add(ASSIGN.match(value)[2] if kind == 0 else value)
                 if not spans and text:
-                    ordinary.update(token for token in CANDIDATE.findall(text) if not _mixed(token))
+                    ordinary.update(CANDIDATE.findall(text))
             values = [*random, *ordinary]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array([True] * len(random) + [False] * len(ordinary))], ["value", "random"])
 

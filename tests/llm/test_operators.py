@@ -92,6 +92,22 @@ def test_markov_models_add_spans():
     assert not any(secrets.markov_spans(f"say {x} now", [], models) for x in ordinary)
 
 
+def test_markov_models_score_every_token():
+    rng = np.random.default_rng(2)
+    letters = np.array(list(secrets.ALPHABET[:62]))
+    random = ["".join(rng.choice(letters, 32)) for _ in range(400)]
+    ordinary = [a + b for a in ("getUser", "parse_token", "window", "thereading", "the", "a1") for b in ("Name2String", "_value1_of_list", "ationsettings3", "ation", "")]
+    models = secrets.Models.train(random, ordinary * 20)
+    assert all(secrets.markov_spans(f"say {x} now", [], models) == [(4, 3, 4 + len(x))] for x in ("".join(rng.choice(letters[:52], 24)) for _ in range(50)))
+    assert sum(bool(secrets.markov_spans(f"say {x} now", [], models)) for x in ("".join(rng.choice(letters, 12)) for _ in range(50))) >= 45
+    assert not any(secrets.markov_spans(f"é {x}, {x}", [], models) for x in ordinary) and secrets.markov_spans("", [], models) == []
+
+
+def test_secrets_trains_on_ordinary_tokens_with_digits(spark):
+    found = secrets.labelled(spark.createDataFrame([("see version2release10notes now",), ("token = abcd1234efgh",)], "text string"))
+    assert {(r["value"], r["random"]) for r in found.collect()} >= {("version2release10notes", False), ("see", False), ("abcd1234efgh", True)}
+
+
 def test_toxicity(docs, labels):
     texts = [f"calm words w{i % 7} idiot w{i % 5} w{i % 3} here" for i in range(60)] + [f"w{i % 7} calm w{i % 5} words only w{i % 3} here" for i in range(60)]
     model = toxicity.fit(texts, [1] * 60 + [0] * 60)
