@@ -2,11 +2,13 @@
 
 Texts are lower-cased (A-Z) and split into words at white space, each word into subword ids by a public
 SentencePiece model, and every text ends with an end token. Every id has an embedding and an output of its
-own, in ``CLASSES`` classes of equal size (a class, then an id in it). Windows of ``WINDOW`` inputs move by ``SCORED``, so that each token is
-scored once, with at least WINDOW - SCORED tokens before it where the text has them, in training too; a batch's
-windows share one masked attention. The probability of a text is that of its ids, so it is a proper model of texts.
+own; outputs stand in order of their counts and are cut into classes of like shares of all tokens (a class,
+then an id in it), so that frequent ids are told apart among few. Windows of ``WINDOW`` inputs move by
+``SCORED``, so that each token is scored once, with at least WINDOW - SCORED tokens before it where the text
+has them, in training too; a batch's windows share one masked attention. The probability of a text is that
+of its ids, so it is a proper model of texts.
 
-Counts (of words for the base score, of ids for the vocabulary and the model's biases) cover all training
+Counts (of words for the base score, of ids for the classes and the model's biases) cover all training
 documents. The weights are trained on the executors in ``ROUNDS`` rounds, which cover all training documents
 between them: a hash gives each document its round. In a round, every partition takes steps over its own
 windows, and the partitions' weights are averaged, in steps, by their numbers of tokens.
@@ -14,6 +16,7 @@ windows, and the partitions' weights are averaged, in steps, by their numbers of
 
 from __future__ import annotations
 
+import copy
 import io
 from collections.abc import Iterator
 from itertools import chain
@@ -21,6 +24,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +33,14 @@ from .common import cut, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 FOLDS, HELD_OUT = 7, 2
-CLASSES, PER_CLASS = 128, 256
-VOCABULARY = CLASSES * PER_CLASS
+#: Classes have about this share of all tokens each, and at most so many ids.
+SHARES, LARGEST = 32, 2048
 WINDOW, SCORED = 32, 16
 EMBED, HIDDEN = 16, 32
-ROUNDS, BATCH, LEAST_STEPS, RATE = 4, 192, 100, 0.03
+ROUNDS, BATCH, LEAST_STEPS, RATE = 4, 512, 240, 0.03
 TABLE_ENTRIES = 500_000
+#: Bytes of text that are split at once.
+AT_ONCE = 8_000_000
 #: Words whose counts every task has; the others' are joined. A bound on what is broadcast.
 FREQUENT = 200_000
 
@@ -49,28 +55,36 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[str, int] = {}
         self.hash = np.zeros(0, np.int64)
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)  # where each word's ids start
 
-    def add(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(words' numbers, lengths in words) of the texts, one after the other."""
+    def add(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(words' numbers, lengths in words) of the texts, one after the other.
+
+        Words are split and told apart batch-wise by Arrow; only distinct ones are looked up one by one.
+        """
         if len(self.number) > TABLE_ENTRIES:
             self.clear()
-        split = [(text or "").encode("utf-8", "replace").lower().split() for text in texts]
-        number = self.number
-        new = {word for words in split for word in words if word not in number}
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        flat = split.flatten()
+        there = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+        upto = np.concatenate([[0], np.cumsum(there)])
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        lengths = upto[ends[1:]] - upto[ends[:-1]]
+        coded = flat.dictionary_encode()
+        distinct, number = coded.dictionary.to_pylist(), self.number
+        new = [word for word in distinct if word and word not in number]
         if new:
-            new = list(new)
             number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            self.hash = np.append(self.hash, np.array([xxhash.xxh3_64_intdigest(word) - (1 << 63) for word in new], np.int64))
+            self.hash = np.append(self.hash, np.fromiter((xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) - (1 << 63) for word in new), np.int64, len(new)))
             if self.model:
-                ids = self.model.encode([word.decode("utf-8", "replace") for word in new], num_threads=1)
+                ids = self.model.encode(new, num_threads=1)
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 self.first = np.append(self.first, self.first[-1] + np.cumsum(sizes))
                 self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum()))
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        return np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, lengths.sum()), lengths
+        of = np.fromiter((number.get(word, -1) for word in distinct), np.int64, len(distinct))
+        return of[coded.indices.to_numpy()[there]] if len(flat) else np.zeros(0, np.int64), lengths
 
     def subwords(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after the other, number of ids of each)."""
@@ -89,23 +103,23 @@ def words_of(model: str | None) -> Words:
     return _WORDS[model]
 
 
-def _softmax_error(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probabilities of the targets, probabilities less one at the targets)."""
-    logits = logits - logits.max(1, keepdims=True)
-    p = np.exp(logits)
-    total = p.sum(1, keepdims=True)
-    at = np.arange(len(target))
-    logp = logits[at, target] - np.log(total[:, 0])
-    p /= total
-    p[at, target] -= 1
-    return logp, p
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of about ``AT_ONCE`` bytes of text, or one row."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = upto[at - 1] if at else 0
+            n = max(1, int(np.searchsorted(upto, done + AT_ONCE, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
 
 
 def _by_id(ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the ids that occur, the sums of their rows of ``d``)."""
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    return ids[order[first]], np.add.reduceat(d[order], first, 0)
+    order = np.argsort(ids.astype(np.uint16), kind="stable")  # of 16 bits, which numpy sorts by counting
+    first = np.flatnonzero(np.diff(ids[order].astype(np.int64), prepend=-1))
+    return ids[order[first]], np.add.reduceat(d.take(order, 0), first, 0)
 
 
 def _step(m: np.ndarray, v: np.ndarray, d: np.ndarray, rate: float, step: int) -> np.ndarray:
@@ -124,106 +138,156 @@ def _step(m: np.ndarray, v: np.ndarray, d: np.ndarray, rate: float, step: int) -
     return d
 
 
+class Outputs:
+    """Ids' outputs, in order of their counts; the end of a text is among them. ``edges``: the classes' first outputs, and the end."""
+
+    def __init__(self, counts: np.ndarray, texts: int):
+        if len(counts) > 65_000:
+            raise ValueError(f"{len(counts)} subword ids, 65000 at most")
+        counts = np.append(counts, texts).astype(np.float64)
+        order = np.argsort(-counts, kind="stable")
+        self.of = np.empty(len(counts), np.int64)
+        self.of[order] = np.arange(len(counts))
+        self.end = int(self.of[-1])
+        self.counts = counts[order]
+        share = np.minimum(np.cumsum(self.counts) / max(self.counts.sum(), 1) * SHARES, SHARES - 1e-9).astype(int)
+        edges = [0]
+        for i in np.flatnonzero(np.diff(share)).tolist():  # a class ends where another share begins
+            edges.append(i + 1)
+        edges = [x for a, b in zip(edges, [*edges[1:], len(counts)], strict=True) for x in range(a, b, LARGEST)]
+        self.edges = np.array([*edges, len(counts)])
+
+    def sequences(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(outputs with ends, texts' lengths in outputs)."""
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lengths)]
+        return np.insert(self.of[ids], ends, self.end), np.diff(ends, prepend=0) + 1
+
+
 class Attention:
-    """Weights, forward pass and gradient. Input ``VOCABULARY`` is the start of a text."""
+    """Weights, forward pass and gradient. The input after the last output is the start of a text."""
 
-    def __init__(self, output_counts: np.ndarray, seed: int = 3):
+    def __init__(self, outputs: Outputs, seed: int = 3):
         rng = np.random.default_rng(seed)
         n = lambda *shape, scale=0.1: (rng.standard_normal(shape) * scale).astype(np.float32)
-        by_class = (output_counts + 1.0).reshape(CLASSES, PER_CLASS)
+        self.edges, size = outputs.edges, len(outputs.counts)
+        self.start, self.class_of = size, np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        counts = outputs.counts + 0.1
+        per_class = np.add.reduceat(counts, self.edges[:-1])
         self.w = {
-            "embed": n(VOCABULARY + 1, EMBED, scale=0.3), "place": n(WINDOW, EMBED), "near": n(VOCABULARY + 1, HIDDEN, scale=0.2), "lag": np.zeros(WINDOW, np.float32),
+            "embed": n(size + 1, EMBED, scale=0.3), "place": n(WINDOW, EMBED), "near": n(size + 1, HIDDEN, scale=0.2), "lag": np.zeros(WINDOW, np.float32),
             "q": n(EMBED, EMBED, scale=0.25), "k": n(EMBED, EMBED, scale=0.25), "v": n(EMBED, EMBED, scale=0.25), "o": n(EMBED, HIDDEN, scale=0.25), "b": np.zeros(HIDDEN, np.float32),
-            "class": n(HIDDEN, CLASSES), "class_b": np.log(by_class.sum(1) / by_class.sum()).astype(np.float32), "in": n(CLASSES, HIDDEN, PER_CLASS), "in_b": np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32),
+            "class": n(len(per_class), HIDDEN), "class_b": np.log(per_class / per_class.sum()).astype(np.float32), "in": n(size, HIDDEN), "in_b": np.log(counts / per_class[self.class_of]).astype(np.float32),
         }
 
     def _hidden(self, inputs: np.ndarray, queries: int) -> tuple:
+        """Scores of the last ``queries`` places over all inputs up to each, as weights ``p`` that are not yet divided by their sums."""
         w = self.w
-        x = w["embed"][inputs] + w["place"]
+        x = w["embed"].take(inputs, 0)
+        x += w["place"]
         xq = x[:, WINDOW - queries :]
-        q, k, v = xq @ w["q"], x @ w["k"], x @ w["v"]
+        kind = x.dtype
+        q = xq.reshape(-1, EMBED) @ (w["q"] * kind.type(EMBED**-0.5))
+        k = x.reshape(-1, EMBED) @ w["k"]
+        v = np.empty((*inputs.shape, EMBED + 1), kind)
+        np.matmul(x, w["v"], out=v[..., :EMBED])
+        v[..., EMBED] = 1
+        q, k = q.reshape(*xq.shape), k.reshape(*x.shape)
         lag = np.arange(WINDOW - queries, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(EMBED**-0.5)
-        s += np.where(lag >= 0, w["lag"][np.maximum(lag, 0)], np.float32(-1e9))
-        s -= s.max(2, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(2, keepdims=True)
-        o = a @ v
-        h = o @ w["o"]
-        h += w["near"][inputs[:, WINDOW - queries :]]
+        p = q @ k.transpose(0, 2, 1)
+        np.minimum(p, 40, out=p)
+        np.exp(p, out=p)
+        p *= np.where(lag >= 0, np.exp(np.minimum(w["lag"], 40))[np.maximum(lag, 0)], kind.type(0))
+        summed = p @ v
+        o = summed[..., :EMBED] / (summed[..., EMBED:] + kind.type(1e-30))
+        h = o.reshape(-1, EMBED) @ w["o"]
+        h = h.reshape(*xq.shape[:2], HIDDEN)
+        h += w["near"].take(inputs[:, WINDOW - queries :], 0)
         h += w["b"]
         np.maximum(h, 0, out=h)
-        return x, xq, q, k, v, lag, a, o, h
+        return x, xq, q, k, v, lag, p, summed, o, h
+
+    def _log_softmax(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, error: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probabilities of the targets, probabilities less one at the targets where ``error`` asks for them)."""
+        z = h @ w.T
+        z += b
+        np.minimum(z, 80, out=z)
+        at = np.arange(len(target))
+        logp = z[at, target]
+        np.exp(z, out=z)
+        total = z.sum(1)
+        logp -= np.log(total)
+        if error:
+            z /= total[:, None]
+            z[at, target] -= 1
+        return logp, z
 
     def logp(self, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray, queries: int) -> np.ndarray:
         """Natural log-probabilities of the used targets of the windows' last ``queries`` places."""
-        w, h = self.w, self._hidden(inputs, queries)[-1][use]
-        target = targets[use]
-        c, m = np.divmod(target, PER_CLASS) if PER_CLASS & (PER_CLASS - 1) else (target >> (PER_CLASS.bit_length() - 1), target & (PER_CLASS - 1))
-        z = h @ w["class"]
-        z += w["class_b"]
-        at = np.arange(len(target))
-        np.minimum(z, 80, out=z)
-        out = z[at, c]
-        out -= np.log(np.exp(z, out=z).sum(1))
+        w, h, target = self.w, self._hidden(inputs, queries)[-1][use], targets[use]
+        c = self.class_of[target]
+        out = self._log_softmax(h, w["class"], w["class_b"], c, False)[0]
         order = np.argsort(c.astype(np.int16), kind="stable")
-        edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        h = h[order]
-        inner = np.empty(len(target), h.dtype)
-        for i in range(CLASSES):
-            a, b = edges[i], edges[i + 1]
-            if a < b:
-                y = h[a:b] @ w["in"][i]
-                y += w["in_b"][i]
-                np.minimum(y, 80, out=y)
-                inner[a:b] = y[np.arange(b - a), m[order[a:b]]]
-                inner[a:b] -= np.log(np.exp(y, out=y).sum(1))
+        h, target = h[order], target[order]
+        at = np.searchsorted(c[order], np.arange(len(self.edges)))
+        inner = np.zeros(len(target), h.dtype)
+        for i in np.flatnonzero(np.diff(at)):
+            lo, hi = self.edges[i], self.edges[i + 1]
+            if hi - lo > 1:
+                for a in range(at[i], at[i + 1], 4096):
+                    b = min(a + 4096, at[i + 1])
+                    inner[a:b] = self._log_softmax(h[a:b], w["in"][lo:hi], w["in_b"][lo:hi], target[a:b] - lo, False)[0]
         out[order] += inner
         return out
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray, queries: int) -> tuple[float, dict]:
         """(log-probability, gradients) of the used targets of the windows' last ``queries`` places.
 
-        Of embeddings and classes there are only those that occur, as (numbers, gradients).
+        Of embeddings and outputs there are only those that occur, as (numbers, gradients).
         """
         w = self.w
-        x, xq, q, k, v, lag, a, o, h = self._hidden(inputs, queries)
-        by_class = np.argsort(targets[use], kind="stable")
+        x, xq, q, k, v, lag, p, summed, o, h = self._hidden(inputs, queries)
+        by_class = np.argsort(targets[use].astype(np.uint16), kind="stable")
         hu, target = h[use][by_class], targets[use][by_class]
-        c, m = target // PER_CLASS, target % PER_CLASS
+        c, scale = self.class_of[target], h.dtype.type(1 / max(len(target), 1))
         g = {}
-        logp, e = _softmax_error(hu @ w["class"] + w["class_b"], c)
+        logp, e = self._log_softmax(hu, w["class"], w["class_b"], c, True)
         total = float(logp.sum())
-        e /= len(target)
-        g["class"], g["class_b"] = hu.T @ e, e.sum(0)
-        dh = e @ w["class"].T
-        edges = np.searchsorted(c, np.arange(CLASSES + 1))
-        seen = np.flatnonzero(np.diff(edges))
-        g["in"], g["in_b"] = (seen, np.empty((len(seen), HIDDEN, PER_CLASS), h.dtype)), (seen, np.empty((len(seen), PER_CLASS), h.dtype))
-        for j, i in enumerate(seen):
-            own = slice(edges[i], edges[i + 1])
-            logp, e = _softmax_error(hu[own] @ w["in"][i] + w["in_b"][i], m[own])
-            total += float(logp.sum())
-            e /= len(target)
-            g["in"][1][j], g["in_b"][1][j] = hu[own].T @ e, e.sum(0)
-            dh[own] += e @ w["in"][i].T
+        e *= scale
+        g["class"], g["class_b"] = e.T @ hu, e.sum(0)
+        dh = e @ w["class"]
+        at = np.searchsorted(c, np.arange(len(self.edges)))
+        rows, d_in, d_b = [], [], []
+        for i in np.flatnonzero(np.diff(at)):
+            lo, hi, own = self.edges[i], self.edges[i + 1], slice(at[i], at[i + 1])
+            if hi - lo > 1:
+                logp, e = self._log_softmax(hu[own], w["in"][lo:hi], w["in_b"][lo:hi], target[own] - lo, True)
+                total += float(logp.sum())
+                e *= scale
+                rows.append(np.arange(lo, hi)), d_in.append(e.T @ hu[own]), d_b.append(e.sum(0))
+                dh[own] += e @ w["in"][lo:hi]
+        if rows:
+            rows = np.concatenate(rows)
+            g["in"], g["in_b"] = (rows, np.concatenate(d_in)), (rows, np.concatenate(d_b))
         back = np.empty_like(dh)
         back[by_class] = dh
-        full = np.zeros_like(h)
-        full[use] = back
-        dz = full * (h > 0)
+        dz = np.zeros_like(h)
+        dz[use] = back
+        dz *= h > 0
         flat = dz.reshape(-1, HIDDEN)
         g["near"], g["b"], g["o"] = _by_id(inputs[:, WINDOW - queries :].ravel(), flat), flat.sum(0), o.reshape(-1, EMBED).T @ flat
-        do = dz @ w["o"].T
-        dv, da = a.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        summed = ds.sum(0)
-        g["lag"] = np.bincount(lag[lag >= 0], summed[lag >= 0], WINDOW).astype(h.dtype)
-        ds *= np.float32(EMBED**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dk @ w["k"].T + dv @ w["v"].T
-        dx[:, WINDOW - queries :] += dq @ w["q"].T
+        do = (flat @ w["o"].T).reshape(*o.shape)
+        do /= summed[..., EMBED:] + h.dtype.type(1e-30)
+        ds = np.concatenate([do, -(do * o).sum(2, keepdims=True)], 2)  # of the sums of weighted values, and of weights
+        dv = p.transpose(0, 2, 1) @ ds
+        dp = ds @ v.transpose(0, 2, 1)
+        dp *= p
+        of_lag = dp.sum(0)
+        g["lag"] = np.bincount(lag[lag >= 0], of_lag[lag >= 0], WINDOW).astype(h.dtype)
+        dq, dk = dp @ k, dp.transpose(0, 2, 1) @ q
+        dq *= h.dtype.type(EMBED**-0.5)
+        dv = np.ascontiguousarray(dv[..., :EMBED])
+        dx = (dk.reshape(-1, EMBED) @ w["k"].T + dv.reshape(-1, EMBED) @ w["v"].T).reshape(*x.shape)
+        dx[:, WINDOW - queries :] += (dq.reshape(-1, EMBED) @ w["q"].T).reshape(*dq.shape)
         for name, of, d in (("q", xq, dq), ("k", x, dk), ("v", x, dv)):
             g[name] = of.reshape(-1, EMBED).T @ d.reshape(-1, EMBED)
         g["place"] = dx.sum(0)
@@ -236,34 +300,33 @@ class Attention:
         Only a step's own windows are laid out at once.
         """
         text, start = window_starts(lengths, SCORED)
-        kinds = [(np.flatnonzero(start == 0), WINDOW, BATCH * SCORED // WINDOW), (np.flatnonzero(start), SCORED, BATCH)]
+        batch = min(BATCH, max(32, 4 * len(text) // LEAST_STEPS))
+        kinds = [(np.flatnonzero(start == 0), WINDOW, max(1, batch * SCORED // WINDOW)), (np.flatnonzero(start), SCORED, batch)]
         starts = np.cumsum(lengths) - lengths
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         step, total, seen = 0, 0.0, 0
-        per_pass = sum(-(-len(own) // batch) for own, _, batch in kinds)
+        per_pass = sum(-(-len(own) // size) for own, _, size in kinds)
         passes = -(-LEAST_STEPS // per_pass)
         for _ in range(passes):
             total, seen = 0.0, 0
-            steps = [(own[at : at + batch], queries) for own, queries, batch in ((rng.permutation(own), queries, batch) for own, queries, batch in kinds) for at in range(0, len(own), batch)]
+            steps = [(own[at : at + size], queries) for own, queries, size in ((rng.permutation(own), queries, size) for own, queries, size in kinds) for at in range(0, len(own), size)]
             for at in rng.permutation(len(steps)):
                 some, queries = steps[at]
                 step += 1
-                inputs, targets, use = windows_at(sequence, lengths, starts, text[some], start[some])
+                inputs, targets, use = windows_at(sequence, lengths, starts, text[some], start[some], self.start)
                 targets, use = targets[:, WINDOW - queries :], use[:, WINDOW - queries :]
                 logp, g = self.gradient(inputs, targets, use, queries)
                 total, seen = total + logp, seen + int(use.sum())
-                now = rate * min(1, step / 10) * (1 - 0.8 * step / (passes * per_pass))
+                now = rate * min(1, step / 10) * (1 - 0.9 * step / (passes * per_pass))
                 for name, d in g.items():
-                    of, d = d if isinstance(d, tuple) else (None, d)
-                    if of is None or len(of) == len(self.w[name]):  # all rows: some at a time, in place
-                        for i in range(0, len(d), 8) if d.ndim == 3 else [slice(None)]:
-                            i = slice(i, i + 8) if d.ndim == 3 else i
-                            self.w[name][i] -= _step(m[name][i], v[name][i], d[i], now, step)
-                    else:
+                    if isinstance(d, tuple):
+                        of, d = d
                         m_, v_ = m[name][of], v[name][of]
                         self.w[name][of] -= _step(m_, v_, d, now, step)
                         m[name][of], v[name][of] = m_, v_
+                    else:
+                        self.w[name] -= _step(m[name], v[name], d, now, step)
         return total / max(seen, 1)
 
     def moved(self, start: Attention) -> dict[str, np.ndarray]:
@@ -277,43 +340,16 @@ def window_starts(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndar
     return text, ((np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride).astype(np.int32)
 
 
-def windows_at(sequence: np.ndarray, lengths: np.ndarray, starts: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, whether a place has a target) of the windows that start there; ``starts`` are the texts'."""
+def windows_at(sequence: np.ndarray, lengths: np.ndarray, starts: np.ndarray, text: np.ndarray, start: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, whether a place has a target) of the windows that start there; ``starts`` are the texts'.
+
+    ``sequence`` holds the texts' outputs one after the other; each text's inputs are ``first``, its start,
+    and all but its last output.
+    """
     place = start[:, None] + np.arange(WINDOW)
     use = place < lengths[text][:, None]
     at = np.minimum(starts[text][:, None] + place, max(len(sequence) - 1, 0))
-    return np.where(place == 0, VOCABULARY, sequence[np.maximum(at - 1, 0)].astype(np.int64)), sequence[at].astype(np.int64), use
-
-
-def windows(sequence: np.ndarray, lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, whether a place has a target, whether a window is its text's first).
-
-    ``sequence`` holds the texts' outputs one after the other; each text's inputs are its start and all
-    but its last output.
-    """
-    text, start = window_starts(lengths, stride)
-    return *windows_at(sequence, lengths, np.cumsum(lengths) - lengths, text, start), start == 0
-
-
-class Outputs:
-    """Ids' outputs, dealt to the classes by rank; the end of a text comes after the ids."""
-
-    def __init__(self, counts: np.ndarray, texts: int):
-        if len(counts) >= VOCABULARY:
-            raise ValueError(f"{len(counts)} subword ids, outputs for {VOCABULARY - 1}")
-        order = np.argsort(np.arange(VOCABULARY) % CLASSES, kind="stable")  # deals ranks to classes
-        slot = np.empty(VOCABULARY, np.int64)
-        slot[order] = np.arange(VOCABULARY)
-        self.of = np.empty(len(counts), np.int64)
-        self.of[np.argsort(-counts, kind="stable")] = slot[: len(counts)]
-        self.end = int(slot[len(counts)])
-        self.counts = np.bincount(self.of, counts, VOCABULARY)
-        self.counts[self.end] = texts
-
-    def sequences(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(outputs with ends, texts' lengths in outputs)."""
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lengths)]
-        return np.insert(self.of[ids], ends, self.end), np.diff(ends, prepend=0) + 1
+    return np.where(place == 0, first, sequence[np.maximum(at - 1, 0)].astype(np.int32)), sequence[at].astype(np.int32), use
 
 
 def _training(docs: DataFrame) -> DataFrame:
@@ -328,8 +364,8 @@ def counted(training: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(model)
-        for batch in batches:
-            numbers, _ = words.add(batch.column(0).to_pylist())
+        for batch in slices(batches, 0):
+            numbers, _ = words.add(batch.column(0))
             for subword, count in ((False, np.bincount(numbers)), (True, np.bincount(words.subwords(numbers)[0]))):
                 seen = np.flatnonzero(count)
                 key = seen if subword else words.hash[seen]
@@ -367,20 +403,20 @@ def train(training: DataFrame, ids: np.ndarray, texts: int, model: str = MODEL,
     """The model of the training texts, of which there are ``texts``, with subword ids so often."""
     spark = training.sparkSession
     outputs = Outputs(ids, texts)
-    net = Attention(outputs.counts)
+    net = Attention(outputs)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((net, outputs))  # a fixed number of weights
 
         def run(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
             net, outputs = shared.value
             words, parts = words_of(model), []
-            for batch in batches:
-                numbers, lengths = words.add(batch.column(1).to_pylist())
+            for batch in slices(batches, 1):
+                numbers, lengths = words.add(batch.column(1))
                 sequence, size = outputs.sequences(*words.subwords(numbers), lengths)
                 parts.append((sequence.astype(np.uint16), size))
             if parts:
                 sequence, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-                own = Attention.__new__(Attention)
+                own = copy.copy(net)
                 own.w = {name: x.copy() for name, x in net.w.items()}
                 own.train(sequence, size, r, RATE / (1 + r))
                 yield _packed(own.moved(net), float(len(sequence)))
@@ -394,22 +430,19 @@ def train(training: DataFrame, ids: np.ndarray, texts: int, model: str = MODEL,
     return net, outputs
 
 
-def score_texts(texts: list[str | None], net: Attention, outputs: Outputs, model: str = MODEL, block: int = 4096) -> np.ndarray:
-    """log10 probability of each whole text."""
-    words = words_of(model)
-    numbers, lengths = words.add(texts)
+def score_texts(numbers: np.ndarray, lengths: np.ndarray, words: Words, net: Attention, outputs: Outputs, block: int = 1024) -> np.ndarray:
+    """log10 probability of each whole text, given by its words' numbers."""
     sequence, size = outputs.sequences(*words.subwords(numbers), lengths)
     total = np.zeros(len(size))
-    text_of = np.repeat(np.arange(len(size)), size)
-    inputs, targets, use, first = windows(sequence, size, SCORED)
-    n = np.maximum(1, -(-(size - WINDOW) // SCORED) + 1)
-    window_text = np.repeat(np.arange(len(size)), n)
-    for some, queries in ((np.flatnonzero(first), WINDOW), (np.flatnonzero(~first), SCORED)):
+    text, start = window_starts(size, SCORED)
+    starts = np.cumsum(size) - size
+    for some, queries in ((np.flatnonzero(start == 0), WINDOW), (np.flatnonzero(start), SCORED)):
         for at in range(0, len(some), block):
             own = some[at : at + block]
-            used = use[own][:, WINDOW - queries :]
-            logp = net.logp(inputs[own], targets[own][:, WINDOW - queries :], used, queries)
-            total += np.bincount(np.repeat(window_text[own], used.sum(1)), logp, len(size))
+            inputs, targets, use = windows_at(sequence, size, starts, text[own], start[own], net.start)
+            use = use[:, WINDOW - queries :]
+            logp = net.logp(inputs, targets[:, WINDOW - queries :], use, queries)
+            total += np.bincount(np.repeat(text[own], use.sum(1)), logp, len(size))
     return total / np.log(10)
 
 
@@ -445,24 +478,21 @@ def scored(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count, net, outputs = shared.value
         words = words_of(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts_ = part.column(1).to_pylist()
-                numbers, lengths = words.add(texts_)
-                hashes = words.hash
-                place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                there = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
-                c = np.where(there, count[place], 0) if len(known) else np.zeros(len(hashes), np.int64)
-                text = np.repeat(np.arange(len(lengths)), lengths)
-                found = there[numbers]
-                base = np.bincount(text, np.where(found, np.log10((c[numbers] + 1) / denominator), 0.0), len(lengths)) + end
-                n_known = np.bincount(text[found], minlength=len(lengths)) + (texts > 0)
-                rare = hashes[numbers[~found]]
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(text[~found], minlength=len(lengths)))])
-                score = score_texts(texts_, net, outputs, model)
-                columns = [part.column(0), pa.array(lengths + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rare))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
+        for part in slices(batches, 1):
+            numbers, lengths = words.add(part.column(1))
+            hashes = words.hash
+            place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+            there = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
+            c = np.where(there, count[place], 0) if len(known) else np.zeros(len(hashes), np.int64)
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            found = there[numbers]
+            base = np.bincount(text, np.where(found, np.log10((c[numbers] + 1) / denominator), 0.0), len(lengths)) + end
+            n_known = np.bincount(text[found], minlength=len(lengths)) + (texts > 0)
+            rare = hashes[numbers[~found]]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text[~found], minlength=len(lengths)))])
+            score = score_texts(numbers, lengths, words, net, outputs)
+            columns = [part.column(0), pa.array(lengths + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rare))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base double, score double, rare array<long>")
