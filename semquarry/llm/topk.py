@@ -1,16 +1,22 @@
-"""Exact top-k search by cover trees of queries and data together.
-
-Rows are dealt to blocks of about ``ROWS`` candidates and ``QUERIES`` queries; each pair of a query block
-and a data block is one task, whose k best a query then compete. A task puts its queries and candidates
-into one cover tree: a node's centre and the covering radii of the queries and of the candidates below
-it. Pairs of a query node and a data node are taken best bound first, and pruned when no inner product
-below them, by the centres' product and the radii, can reach the worst k-th score of the node's queries.
+"""Exact top-k search by cover trees of queries and data.
+
+The top of one cover tree over all rows, of at most ``CELLS`` leaves, is fitted to a bounded sample: nested
+levels of centres, each level's radius half of the one's above. Every row, query or candidate, goes to the
+leaf of the nearest centre, and all rows' distances give the leaves' covering radii. First each query is
+searched in its own leaf, which gives every leaf's queries a worst k-th score. Then pairs of a query leaf and
+a data leaf are pruned, from the root down, where no inner product below them, by the centres' product and
+the radii, can reach that score, and only the pairs that are left are searched. A task holds at most about
+``ROWS`` candidates and ``QUERIES`` queries of a pair; it has a cover tree of either side and prunes pairs of
+their nodes in the same way, beginning with the k-th scores that its queries have already.
+
+How much is pruned depends on the vectors: of clustered ones nearly all, of ones that fill all directions
+alike nothing, since then no covering radius is small beside the differences of scores.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -25,101 +31,118 @@ from .streams import groups
 K = 5
 EVERY = 50
 ROWS, QUERIES = 4096, 1024
-LEAF = 64
-SHRINK = 1.3  # of the radius, from a level to the next
-
-
-class Node:
-    """Rows of a cover tree below one centre."""
-
-    def __init__(self, x: np.ndarray, query: np.ndarray, rows: np.ndarray, centre: np.ndarray):
-        self.centre, self.norm = centre, float(np.sqrt(centre @ centre))
-        away = np.sqrt(((x[rows] - centre) ** 2).sum(1))
-        is_query = query[rows]
-        self.queries, self.data = rows[is_query], rows[~is_query]
-        self.query_radius, self.data_radius = float(away[is_query].max(initial=0)), float(away[~is_query].max(initial=0))
-        self.kids: list[Node] = []
-
-    def bound(self, data: Node) -> float:
-        """No inner product of a query below this node and a candidate below ``data`` is larger."""
-        a, b = self.query_radius, data.data_radius
-        return float(self.centre @ data.centre) + self.norm * b + data.norm * a + a * b
-
-
-def cover_tree(x: np.ndarray, query: np.ndarray) -> Node:
-    def grow(rows: np.ndarray, centre: int) -> Node:
-        node = Node(x, query, rows, x[centre])
-        radius = max(node.query_radius, node.data_radius)
-        if len(rows) <= LEAF or not radius:
-            return node
-        away = np.sqrt(((x[rows] - x[centre]) ** 2).sum(1))
-        owner, centres = np.zeros(len(rows), np.int64), [centre]
-        while away.max() > radius / SHRINK:
-            far = rows[away.argmax()]
-            d = np.sqrt(((x[rows] - x[far]) ** 2).sum(1))
-            owner[d < away] = len(centres)
-            away = np.minimum(away, d)
-            centres.append(far)
-        order = np.argsort(owner, kind="stable")
-        few: list[np.ndarray] = []
-        starts = np.flatnonzero(np.diff(owner[order], prepend=-1))
-        for start, own in zip(starts, np.split(rows[order], starts[1:]), strict=True):
-            if LEAF // 4 < len(own) < len(rows):
-                node.kids.append(grow(own, centres[owner[order[start]]]))
-            else:
-                few.append(own)
-        rest = np.concatenate(few) if few else rows[:0]
-        for a in range(0, len(rest), LEAF):  # small neighbours share a leaf
-            own = rest[a : a + LEAF]
-            node.kids.append(Node(x, query, own, x[own].mean(0)))
-        return node
-
-    return grow(np.arange(len(x)), 0)
-
-
-def search(q: np.ndarray, q_row: np.ndarray, d: np.ndarray, d_row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+LEAF = 16
+#: Leaves of the tree's top, and rows that it is fitted to; every row is indexed.
+CELLS, SAMPLE = 256, 10_000
+
+
+class CoverTree:
+    """Nodes in order, the root first: centres, covering radii, children and rows (of leaves only).
+
+    A node's children cover its rows within half of its radius; the first has the node's own centre.
+    """
+
+    def __init__(self, x: np.ndarray, leaf: int = LEAF, most: int | None = None):
+        self.x = x
+        centres, self.rows, self.kids, radius = [0] if len(x) else [], [np.arange(len(x))], [[]], [self._away(np.arange(len(x)), 0).max(initial=0)]
+        at, leaves = 0, 1
+        order = [0]
+        while at < len(order):  # level by level
+            node = order[at]
+            at += 1
+            rows = self.rows[node]
+            if len(rows) <= leaf or not radius[node] or most and leaves >= most:
+                continue
+            picked, away = [centres[node]], self._away(rows, centres[node])
+            owner = np.zeros(len(rows), np.int64)
+            while away.max() > radius[node] / 2 and (not most or leaves + len(picked) <= most):
+                far = rows[away.argmax()]
+                d = self._away(rows, far)
+                owner[d < away] = len(picked)
+                away = np.minimum(away, d)
+                picked.append(far)
+            self.rows[node] = rows[:0]
+            for i, centre in enumerate(picked):
+                own = rows[owner == i]
+                self.kids[node].append(len(centres)), order.append(len(centres))
+                centres.append(centre), self.rows.append(own), self.kids.append([]), radius.append(away[owner == i].max(initial=0))
+            leaves += len(picked) - 1
+        self.centre, self.radius = x[centres], np.array(radius if len(x) else [])
+        self.norm = np.sqrt((self.centre**2).sum(1))
+
+    def _away(self, rows: np.ndarray, centre: int) -> np.ndarray:
+        return np.sqrt(((self.x[rows] - self.x[centre]) ** 2).sum(1)) if len(rows) else np.zeros(0)
+
+    def leaves(self) -> np.ndarray:
+        return np.array([i for i, kids in enumerate(self.kids) if not kids], np.int64)
+
+
+def bounds(a: CoverTree, i: np.ndarray | int, b: CoverTree, j: np.ndarray) -> np.ndarray:
+    """No inner product of a row below node ``i`` of ``a`` and one below ``j`` of ``b`` is larger, nor the next whole number."""
+    found = b.centre[j] @ a.centre[i] + a.norm[i] * b.radius[j] + b.norm[j] * a.radius[i] + a.radius[i] * b.radius[j]
+    return np.floor(found + 1e-6 * (1 + np.abs(found)))
+
+
+def search(q: np.ndarray, q_row: np.ndarray, d: np.ndarray, d_row: np.ndarray, k: int, known: np.ndarray | None = None, evaluated: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(scores, positions in ``d``) of each query's k best, by falling score, then by position; -1 where there are fewer.
 
     ``q_row`` and ``d_row`` name rows; a row is no candidate of its own. All values are whole numbers.
+    Candidates under a query's ``known`` score may be left out. ``evaluated`` is given the numbers of
+    products that were taken.
     """
     nq, nd = len(q), len(d)
-    x = np.concatenate([q, d])
-    is_query = np.arange(nq + nd) < nq
-    most = float(np.abs(x).max(initial=1)) ** 2 * x.shape[1] * (nd + 1)
+    most = max(float(np.abs(q).max(initial=1)), float(np.abs(d).max(initial=1))) ** 2 * q.shape[1] * (nd + 1)
     if most >= 2**52:  # beyond whole numbers in doubles: Python's own
         return _plain(q, q_row, d, d_row, k)
     least = -(2.0**60)
     best = np.full((nq, k), least)  # score * nd + (nd - 1 - position): larger is better, and no two are equal
-    root = cover_tree(x, is_query)
-    heap: list[tuple[float, int, Node, Node]] = []
-    made = 0
-
-    def offer(a: Node, b: Node) -> None:
-        nonlocal made
-        if len(a.queries) and len(b.data):
-            bound = a.bound(b)
-            if (np.floor(bound + 1e-6 * (1 + abs(bound))) + 1) * nd > best[a.queries, 0].min():
-                made += 1
-                heappush(heap, (-bound, made, a, b))
-
-    offer(root, root)
-    while heap:
-        bound, _, a, b = heappop(heap)
-        if (np.floor(-bound + 1e-6 * (1 + abs(bound))) + 1) * nd <= best[a.queries, 0].min():
-            continue
-        if a.kids and (len(a.queries) >= len(b.data) or not b.kids):
-            for kid in a.kids:
-                offer(kid, b)
-        elif b.kids:
-            for kid in b.kids:
-                offer(a, kid)
+    floor = np.full(nq, least) if known is None else np.where(np.isfinite(known), known * nd, least)
+    a, b = CoverTree(q), CoverTree(d)
+    below = [np.zeros(0, np.int64)] * len(a.kids)  # each node's queries
+    for i in range(len(a.kids) - 1, -1, -1):
+        below[i] = np.concatenate([a.rows[i], *(below[kid] for kid in a.kids[i])])
+
+    def worst(i: int) -> float:
+        return np.maximum(best[below[i], 0], floor[below[i]]).min()
+
+    def evaluate(i: int, nodes: np.ndarray) -> None:
+        data, queries = np.concatenate([b.rows[j] for j in nodes]), below[i]
+        for at in range(0, len(data), 1024):
+            own = data[at : at + 1024]
+            keys = (q[queries] @ d[own].T) * nd + (nd - 1 - own)
+            keys[q_row[queries][:, None] == d_row[own][None, :]] = least
+            both = np.concatenate([best[queries], keys], axis=1)
+            best[queries] = np.sort(np.partition(both, -k, axis=1)[:, -k:], axis=1)
+            if evaluated is not None:
+                evaluated.append(keys.size)
+
+    def visit(i: int, nodes: np.ndarray) -> None:
+        """Node ``i`` of the queries against these nodes of the data, those of the largest bounds first."""
+        bound = bounds(a, i, b, nodes)
+        order = np.argsort(-bound, kind="stable")
+        nodes, bound = nodes[order], bound[order]
+        small = bound * nd + nd <= worst(i)
+        nodes = nodes[~small]
+        inner = np.array([bool(b.kids[j]) for j in nodes], bool)
+        if not len(nodes):
+            return
+        if a.kids[i] and not inner.any():  # the data cannot be split further
+            for kid in a.kids[i]:
+                visit(kid, nodes)
+        elif not inner.any():
+            for at in range(0, len(nodes), 16):
+                some = nodes[at : at + 16]
+                some = some[bounds(a, i, b, some) * nd + nd > worst(i)]
+                if len(some):
+                    evaluate(i, some)
+        elif a.kids[i] and a.radius[i] > b.radius[nodes].max():
+            for kid in a.kids[i]:
+                visit(kid, nodes)
         else:
-            for at in range(0, len(b.data), 1024):
-                data = b.data[at : at + 1024]
-                keys = (x[a.queries] @ x[data].T) * nd + (nd - 1 - (data - nq))
-                keys[q_row[a.queries][:, None] == d_row[data - nq][None, :]] = least
-                best[a.queries] = np.partition(np.concatenate([best[a.queries], keys], axis=1), -k, axis=1)[:, -k:]
-                best[a.queries] = np.sort(best[a.queries], axis=1)
+            visit(i, np.concatenate([b.kids[j] if b.kids[j] else [j] for j in nodes]).astype(np.int64))
+
+    if nq and nd:
+        visit(0, np.zeros(1, np.int64))
     best = best[:, ::-1]
     score = np.floor_divide(best, nd)
     return score.astype(np.int64), np.where(best == least, -1, nd - 1 - (best - score * nd)).astype(np.int64)
@@ -151,22 +174,107 @@ def _whole(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, v binary")
 
 
+def _top(rows: DataFrame) -> dict[int, CoverTree]:
+    """The tree's top for each length of vectors, from the ``SAMPLE`` rows of smallest hash."""
+    sample = rows.select("dim", "v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
+    out: dict[int, CoverTree] = {}
+    for dim in {r["dim"] for r in sample}:
+        out[dim] = CoverTree(np.array([np.frombuffer(r["v"], np.float64) for r in sample if r["dim"] == dim]), 1, CELLS)
+    return out
+
+
+def _nearest(tree: CoverTree, leaves: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the leaves, distance) of the nearest leaf's centre."""
+    at = np.empty(len(x), np.int64)
+    for i in range(0, len(x), 2048):
+        at[i : i + 2048] = (tree.norm[leaves] ** 2 - 2 * x[i : i + 2048] @ tree.centre[leaves].T).argmin(1)
+    return at, np.sqrt(((x - tree.centre[leaves[at]]) ** 2).sum(1))
+
+
+def open_pairs(tree: CoverTree, leaves: np.ndarray, query_radius: np.ndarray, data_radius: np.ndarray, worst: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of places of a query leaf and a data leaf, from the root down, that the bounds don't prune; own leaves are left out.
+
+    Radii are -1 for leaves without queries or without data.
+    """
+    place = {int(node): i for i, node in enumerate(leaves)}
+    sides = []
+    for own in (query_radius, data_radius):
+        radius = np.full(len(tree.kids), -1.0)
+        radius[leaves] = own
+        for node in range(len(tree.kids) - 1, -1, -1):
+            for kid in tree.kids[node]:
+                if radius[kid] >= 0:
+                    radius[node] = max(radius[node], float(np.sqrt(((tree.centre[kid] - tree.centre[node]) ** 2).sum())) + radius[kid])
+        side = copy.copy(tree)
+        side.radius = radius
+        sides.append(side)
+    least = np.full(len(tree.kids), np.inf)
+    least[leaves] = worst
+    for node in range(len(tree.kids) - 1, -1, -1):
+        least[node] = min([least[node], *(least[kid] for kid in tree.kids[node])])
+    queries, data = sides
+    found, waiting = [], [(0, 0)]
+    while waiting:
+        i, j = waiting.pop()
+        if queries.radius[i] < 0 or data.radius[j] < 0 or bounds(queries, i, data, np.array([j]))[0] < least[i]:
+            continue
+        if tree.kids[i] and (queries.radius[i] >= data.radius[j] or not tree.kids[j]):
+            waiting += [(kid, j) for kid in tree.kids[i]]
+        elif tree.kids[j]:
+            waiting += [(i, kid) for kid in tree.kids[j]]
+        elif i != j:
+            found.append((place[i], place[j]))
+    return found
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of every row whose vec_id is divisible by ``every``.
 
     A row is never its own candidate; rows that repeat an id are. Null or empty vectors and those with
     null or non-finite components take no part; only vectors of equal length meet. Ties go to the smaller
-    vec_id, null last. A repeated query row has a result of its own. An empty table gives no rows.
+    vec_id, null last. A repeated query row has a result of its own. An empty table gives no rows. Further
+    columns are left out.
     """
+    spark = vectors.sparkSession
     rows = cut(_whole(vectors).withColumn("row", F.monotonically_increasing_id()))
+    tops = {dim: (tree, tree.leaves()) for dim, tree in _top(rows).items()}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, x = batch.column(1).to_numpy(), batch.column(2)
+            cell, away = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for dim in np.unique(dims):
+                own = np.flatnonzero(dims == dim)
+                if dim not in tops:  # a length that the sample lacks has one leaf, at its first row
+                    cell[own], away[own] = 0, np.inf
+                    continue
+                v = np.frombuffer(b"".join(x.take(pa.array(own)).to_pylist()), np.float64).reshape(len(own), -1)
+                cell[own], away[own] = _nearest(*tops[dim], v)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], [*batch.schema.names, "cell", "away"])
+
     is_query = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
-    n, nq = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    n_data, n_queries = max(1, -(-n // ROWS)), max(1, -(-nq // QUERIES))
-    data = rows.withColumn("d", F.pmod(F.xxhash64("row"), F.lit(n_data))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).withColumn("query", F.lit(False))
-    queries = rows.where(is_query).withColumn("q", F.pmod(F.xxhash64("row"), F.lit(n_queries)).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_data - 1).cast("long")))).withColumn("query", F.lit(True))
-    task = ["dim", "q", "d"]
-    columns = [*task, "query", "row", "vec_id", "v"]
-    both = data.select(columns).unionByName(queries.select(columns)).repartition(*task).sortWithinPartitions(*task, F.col("vec_id").asc_nulls_last(), "row")
+    rows = cut(rows.withColumn("query", is_query).mapInArrow(place, "vec_id long, dim int, v binary, row long, query boolean, cell int, away double"))
+    by = ["dim", "cell"]
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("query"), 1)).alias("nq"), F.max("away").alias("data_radius"), F.max(F.when(F.col("query"), F.col("away"))).alias("query_radius"))
+    sizes = cut(sizes)
+    # parts of a leaf's rows, as candidates and as queries, by a hash
+    parted = rows.join(sizes.select(*by, F.ceil(F.col("n") / ROWS).alias("_d"), F.ceil(F.col("nq") / QUERIES).alias("_q")), by)
+    parted = parted.withColumns({"d": F.pmod(F.xxhash64("row"), F.col("_d")).cast("int"), "q": F.when(F.col("query"), F.pmod(F.xxhash64("row"), F.col("_q"))).cast("int")}).drop("away", "query")
+    task = ["dim", "cell", "d", "from", "q"]
+    columns = [*task, "query", "row", "vec_id", "v", "known"]
+
+    def searched(pairs: DataFrame | None, known: DataFrame | None) -> DataFrame:
+        """The best of each query of the pairs (dim, from, cell); of its own leaf, where no pairs are given."""
+        none = F.lit(None).cast("long")
+        asked = parted.where("q is not null").withColumn("from", F.col("cell")).join(known, "row", "left") if known is not None else parted.where("q is not null").withColumns({"from": F.col("cell"), "known": none})
+        pairs = sizes.where("nq > 0").select(*by, F.col("cell").alias("from")) if pairs is None else pairs
+        pairs = pairs.join(sizes.select(*by, F.ceil(F.col("n") / ROWS).cast("int").alias("_d")), by).join(sizes.select("dim", F.col("cell").alias("from"), F.ceil(F.col("nq") / QUERIES).cast("int").alias("_q")), ["dim", "from"])
+        pairs = pairs.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("_d") - 1))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))
+        pairs = pairs.select(*task)
+        data = parted.drop("q").join(pairs, ["dim", "cell", "d"]).withColumns({"query": F.lit(False), "known": none})
+        queries = asked.drop("cell", "d").join(pairs, ["dim", "from", "q"]).withColumn("query", F.lit(True))
+        both = data.select(columns).unionByName(queries.select(columns)).repartition(*task).sortWithinPartitions(*task, F.col("vec_id").asc_nulls_last(), "row")
+        return both.mapInPandas(run, "row long, query_id long, vec_id long, of long, score long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for found in groups(batches, task):
@@ -175,15 +283,32 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
                 x = np.frombuffer(b"".join(group["v"]), np.float64).reshape(len(group), -1)
                 if not query.any() or query.all():
                     continue
-                row = group["row"].to_numpy()
+                row, known = group["row"].to_numpy(), group["known"].to_numpy(np.float64, na_value=np.nan)
                 ids = group["vec_id"].astype("Int64").array
-                scores, at = search(x[query], row[query], x[~query], row[~query], k)
+                scores, at = search(x[query], row[query], x[~query], row[~query], k, known[query])
                 i, r = np.nonzero(at >= 0)
                 yield pd.DataFrame({"row": row[query][i], "query_id": ids[query][i], "vec_id": ids[~query][at[i, r]], "of": row[~query][at[i, r]], "score": scores[i, r].astype(np.int64)})
 
-    best = both.mapInPandas(run, "row long, query_id long, vec_id long, of long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "of")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = cut(best(searched(None, None)))
+    known = first.where(F.col("rank") == k).select("row", F.col("score").alias("known"))
+    # a leaf's worst k-th score: none where one of its queries has fewer than k; CELLS rows for each length of vectors
+    worst = parted.where("q is not null").select(*by, "row").join(known, "row", "left").groupBy(*by).agg(F.min("known").alias("_least"), F.count("known").alias("_n"), F.count(F.lit(1)).alias("_all"))
+    found: dict[int, list] = {}
+    for r in sizes.join(worst, by, "left").collect():
+        found.setdefault(r["dim"], []).append((r["cell"], -1.0 if r["query_radius"] is None else r["query_radius"], r["data_radius"], r["_least"] if r["_all"] and r["_n"] == r["_all"] else -np.inf))
+    pairs = []
+    for dim, cells in found.items():
+        if dim in tops:
+            tree, leaves = tops[dim]
+            query, data, least = np.full(len(leaves), -1.0), np.full(len(leaves), -1.0), np.full(len(leaves), np.inf)
+            for cell, *values in cells:
+                query[cell], data[cell], least[cell] = values
+            pairs += [(dim, j, i) for i, j in open_pairs(tree, leaves, query, data, least)]
+    if pairs:
+        first = first.drop("rank").unionByName(searched(spark.createDataFrame(pairs, "dim int, cell int, from int"), known))
+    return best(first.select("row", "query_id", "vec_id", "of", "score")).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark, sf_dir: str) -> DataFrame:

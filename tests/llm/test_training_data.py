@@ -178,6 +178,26 @@ def test_near_duplicates(vectors):
     assert {r["component_id"] for r in found if 41 <= r["vec_id"] < 80} == {40} and neardup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_near_duplicates_compare_few_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(120, 32)) * np.linspace(2, 0.3, 32)
+    x = centres[rng.integers(0, 120, 3000)] + 0.02 * rng.normal(size=(3000, 32))
+    raw = x.astype(np.float32)
+    unit = np.concatenate([neardup.units(raw), np.ones((len(raw), 1))], 1)
+    blocks = neardup.Blocks(unit.T @ unit, 0.93)
+    rotated, compared, found = neardup.units(raw) @ blocks.rotation, 0, set()
+    for b in range(blocks.n):
+        for p, q, n in neardup.near_pairs(rotated[:, blocks.starts[b] : blocks.starts[b + 1]], blocks.budget[b]):
+            compared += n
+            found |= set(map(tuple, np.sort(np.stack([p, q], 1), 1).tolist()))
+    cosine = neardup.units(raw) @ neardup.units(raw).T
+    want = set(map(tuple, np.argwhere(np.triu(cosine >= 0.93, 1)).tolist()))
+    assert want and want <= found and compared < 3000 * 2999 / 2 / 2
+    table = spark.createDataFrame([(i, v.tolist(), 1, 0.0, "x") for i, v in enumerate(raw[:400])], "vec_id long, embedding array<float>, label int, n double, rid string")
+    degree = (cosine[:400, :400] >= 0.93).sum(1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in rows(neardup.near_duplicates(table))} == dict(enumerate(degree.tolist()))
+
+
 def test_top_k(vectors):
     data = [(i, r["vec_id"], np.floor(256 * np.array(r["embedding"]))) for i, r in enumerate(vectors.collect()) if usable(r)]
     want = Counter()
@@ -199,6 +219,38 @@ def test_cover_tree_search_against_all_products():
         assert [(-s, j) for s, j in zip(score[i], at[i], strict=True)] == keys
 
 
+def test_cover_trees_are_nested_and_cover():
+    x = np.random.default_rng(3).normal(size=(700, 5))
+    tree = topk.CoverTree(x)
+    assert sorted(np.concatenate(tree.rows).tolist()) == list(range(700))
+    below = [set(r.tolist()) for r in tree.rows]
+    for node in range(len(tree.kids) - 1, -1, -1):
+        for i, kid in enumerate(tree.kids[node]):
+            below[node] |= below[kid]
+            assert tree.radius[kid] <= tree.radius[node] / 2 and (i or (tree.centre[kid] == tree.centre[node]).all())
+        assert np.sqrt(((x[list(below[node])] - tree.centre[node]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-9
+
+
+def test_cover_trees_prune_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = centres[rng.integers(0, 60, 3000)] + 0.01 * rng.normal(size=(3000, 16))
+    whole, taken = np.floor(256 * x), []
+    score, at = topk.search(whole[::50], np.arange(0, 3000, 50), whole, np.arange(3000), 5, evaluated=taken)
+    for i in range(60):
+        keys = sorted((-int(s), j) for j, s in enumerate(whole[i * 50] @ whole.T) if j != i * 50)[:5]
+        assert [(-s, j) for s, j in zip(score[i], at[i], strict=True)] == keys
+    assert sum(taken) < 60 * 3000 / 4
+    open_ = []
+    monkeypatch.setattr(topk, "open_pairs", lambda *a, of=topk.open_pairs: open_.append(of(*a)) or open_[-1])
+    monkeypatch.setattr(topk, "CELLS", 64)
+    table = spark.createDataFrame([(i, v.tolist(), 1, 1, 1.5) for i, v in enumerate(x)], "vec_id long, embedding array<double>, score int, row int, cell double")
+    want = {(i * 50, r + 1, int(at[i, r]), int(score[i, r])) for i in range(60) for r in range(5)}
+    assert {tuple(r) for r in topk.top_k(table).collect()} == want
+    assert len(open_[0]) < 60 * 60 / 4
+
+
 def test_wrappers(spark):
     page = "<html><body><nav><ul>{m}</ul></nav><div class='ad'>Buy</div><div id=content><h1>T{i}</h1>{p}</div><form>Mail</form><footer>f{i}</footer><script>var a='</p>'</script></body></html>"
     made = [(i, "http://h.example/p", page.format(i=i, m="<li><a>m</a>" * (1 + i % 3), p="".join(f"<p>Text <b>{i}</b>{k} &amp; more\n words of it" for k in range(1 + i % 4)))) for i in range(8)]
