@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, slices, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 FOLDS, HELD_OUT = 7, 2
@@ -39,8 +39,6 @@ WINDOW, SCORED = 32, 16
 EMBED, HIDDEN = 16, 32
 ROUNDS, BATCH, LEAST_STEPS, RATE = 4, 512, 240, 0.03
 TABLE_ENTRIES = 500_000
-#: Bytes of text that are split at once.
-AT_ONCE = 8_000_000
 #: Words whose counts every task has; the others' are joined. A bound on what is broadcast.
 FREQUENT = 200_000
 
@@ -103,18 +101,6 @@ def words_of(model: str | None) -> Words:
     return _WORDS[model]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches of about ``AT_ONCE`` bytes of text, or one row."""
-    for batch in batches:
-        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            done = upto[at - 1] if at else 0
-            n = max(1, int(np.searchsorted(upto, done + AT_ONCE, side="right")) - at)
-            yield batch.slice(at, n)
-            at += n
-
-
 def _by_id(ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the ids that occur, the sums of their rows of ``d``)."""
     order = np.argsort(ids.astype(np.uint16), kind="stable")  # of 16 bits, which numpy sorts by counting

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Store ``df`` in the shared checkpoint folder and read it from there.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where it is unset (tests, a single
-    machine) a temporary one is taken.
+    The folder is the one that ``spark.checkpoint.dir`` names; only where it is unset and the master is
+    local (tests, a single machine) a temporary one is taken.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="semquarry-"))
     return df.checkpoint(eager=True)
 
@@ -50,6 +53,18 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of about ``most`` bytes in the column ``text``, or one row."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            done = upto[at - 1] if at else 0
+            n = max(1, int(np.searchsorted(upto, done + most, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
+
+
 def hash60(*cols: Column) -> Column:
     """A hash of 60 bits that SQL engines agree on: the first 15 hex digits of SHA-256."""
     return F.conv(F.substring(F.sha2(F.concat_ws(":", *cols), 256), 1, 15), 16, 10).cast("long")

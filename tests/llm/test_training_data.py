@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,18 @@ def test_pieces(docs):
     assert Counter(tuple(r) for r in pieces.piece_digests(docs).collect()) == want
     assert pieces.piece_digests(docs.limit(0)).count() == 0
     assert pieces.piece_ids(docs.where("doc_id = 3")).first()["decoded"] == "one two"
+    plain = lambda df: Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in df.collect())
+    assert plain(pieces.joined_ids(docs)) == plain(pieces.piece_ids(docs)) and pieces.joined_ids(docs.limit(0)).count() == 0
+
+
+def test_pieces_of_odd_texts(monkeypatch):
+    made = pieces.Pieces()
+    texts = ["", " ", "  ", "a", " a", "a ", "a  b", "▁", "a▁b", "a ▁ b", "ａ ﬁ\u3000x", "tab\there", "new\nline  \n", "\u200b x", "x\u00a0y", "é e\u0301", None, "😀 😀", "a b c"] * 2
+    for parts in ([texts], [[t] for t in texts], [["a  b", None], ["x y"] * 3]):
+        for some in parts:
+            n, ids, decoded = (x.to_pylist() for x in made.encode(pa.array(some, pa.string())))
+            want = [made.model.encode(t or "") for t in some]
+            assert ids == [",".join(map(str, x)) for x in want] and n == [len(x) for x in want] and decoded == [made.model.decode(x) for x in want]
 
 
 def test_packing(docs):
