@@ -37,7 +37,7 @@ FOLDS, HELD_OUT = 7, 2
 SHARES, LARGEST = 32, 2048
 WINDOW, SCORED = 32, 16
 EMBED, HIDDEN = 16, 32
-ROUNDS, BATCH, LEAST_STEPS, RATE = 4, 512, 240, 0.03
+ROUNDS, BATCH, LEAST_STEPS, RATE = 4, 512, 400, 0.03
 TABLE_ENTRIES = 500_000
 #: Words whose counts every task has; the others' are joined. A bound on what is broadcast.
 FREQUENT = 200_000
@@ -286,7 +286,7 @@ class Attention:
         Only a step's own windows are laid out at once.
         """
         text, start = window_starts(lengths, SCORED)
-        batch = min(BATCH, max(32, 4 * len(text) // LEAST_STEPS))
+        batch = min(BATCH, max(BATCH // 8, len(text) // LEAST_STEPS))  # one pass, unless there are few windows
         kinds = [(np.flatnonzero(start == 0), WINDOW, max(1, batch * SCORED // WINDOW)), (np.flatnonzero(start), SCORED, batch)]
         starts = np.cumsum(lengths) - lengths
         rng = np.random.default_rng(seed)

@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 Two first-order models over characters are trained from labelled samples. A token's log-likelihood
-ratio per character between them says whether it looks drawn at random. The labelled samples are of the
-corpus itself: what follows the fixed patterns' keywords and markers is labelled random, other tokens of
-documents without any such match are ordinary. Tokens of any length and of any characters are trained on and
-scored alike; a token is reported when its mean ratio is above ``THRESHOLD`` and its whole ratio is at least what
-``SHORTEST`` characters at that mean have, so that a shorter token must look more random to be as sure. Of each label the ``SAMPLE`` values of smallest hash are
-taken (fewer, if there are fewer), each distinct value once; this bound is a parameter.
+ratio per character between them says whether it looks drawn at random. Labelled random are what follows
+the fixed patterns' keywords and markers in the corpus, and ``MADE`` strings of each of ``ALPHABETS`` that
+are drawn at random from a fixed seed, so that the model does not only know the forms that the patterns find
+already. Labelled ordinary are the tokens, of whatever characters, of documents without any match. Of either
+label the ``SAMPLE`` values of smallest hash are taken (fewer, if there are fewer), each distinct value once;
+this bound is a parameter. Tokens of any length and of any characters are scored alike; a token is reported
+when its mean ratio is above ``THRESHOLD`` and its whole ratio is at least what ``SHORTEST`` characters at
+that mean have, so that a shorter token must look more random to be as sure.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import cut, table, tidy
 
 #: Fixed patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -32,9 +35,12 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SAMPLE = 20_000
+#: Random strings are made of these characters, so many of each, from 16 to 48 characters long.
+ALPHABETS = (ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62], "0123456789abcdef")
+MADE, SEED = 2000, 11
 SHORTEST = 16
 #: A token is reported when the ratio is above this, in nats a character.
-THRESHOLD = 1.0
+THRESHOLD = 1.25
 #: Added to each character's count, and the weight of these single counts beside those of pairs.
 SMOOTHING, BACKOFF = 0.5, 5.0
 
@@ -63,12 +69,13 @@ class Models(NamedTuple):
 
     @classmethod
     def train(cls, random: list[str], ordinary: list[str]) -> Models:
+        return cls.counted(steps(random), steps(ordinary))
+
+    @classmethod
+    def counted(cls, *steps: np.ndarray) -> Models:
+        """From the numbers of steps between characters, of random and of ordinary strings."""
         logs = []
-        for samples in (random, ordinary):
-            counts = np.zeros((_STATES, _STATES))
-            for sample in samples:
-                codes = _codes(sample)
-                np.add.at(counts, (np.concatenate([[0], codes[:-1]]), codes), 1)
+        for counts in steps:
             single = (counts.sum(0) + SMOOTHING) / (counts.sum() + SMOOTHING * _STATES)
             logs.append(np.log((counts + BACKOFF * single) / (counts.sum(1, keepdims=True) + BACKOFF)))
         return cls(logs[0] - logs[1])
@@ -78,14 +85,25 @@ class Models(NamedTuple):
         codes = _codes(token)
         return float(self.ratio[np.concatenate([[0], codes[:-1]]), codes].mean()) if len(codes) else 0.0
 
+    def random(self, token: str) -> bool:
+        """Whether a token of ``SHORTEST`` characters or more is likelier random than ordinary."""
+        return len(token) >= SHORTEST and self.score(token) > 0
+
 
 def _codes(token: str) -> np.ndarray:
     return _CODE[np.frombuffer(token.encode("latin-1", "replace"), np.uint8)].astype(np.int64)
 
 
-def _mixed(token: str) -> bool:
-    """Whether a token holds a digit and a letter. Only tests ask; no token is left out for it."""
-    return any(map(str.isdigit, token)) and any(map(str.isalpha, token))
+def steps(values: list[str]) -> np.ndarray:
+    """Numbers of steps from each character to the next, in all values."""
+    codes = _codes("\n".join(["", *values]))  # the line feed is the start
+    return np.bincount(codes[:-1] * _STATES + codes[1:], minlength=_STATES * _STATES).reshape(_STATES, _STATES).astype(float) * (np.arange(_STATES) > 0)
+
+
+def made(n: int = MADE, seed: int = SEED) -> list[str]:
+    """Random strings: ``n`` of each alphabet."""
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list(letters), rng.integers(16, 49))) for letters in ALPHABETS for _ in range(n)]
 
 
 def markov_spans(text: str, base: list[tuple[int, int, int]], models: Models, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -103,33 +121,67 @@ def markov_spans(text: str, base: list[tuple[int, int, int]], models: Models, th
     return [(a, 3, b) for a, b in likely if not any(a < end and start < b for start, _, end in base)]
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """(value, random) labelled by the fixed patterns; for each task, each distinct value once."""
+def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(value, random, h) labelled by the fixed patterns; for each task, the ``sample`` distinct values of smallest hash ``h`` of either label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bool, dict[str, int]] = {True: {}, False: {}}
+
+        def trim(most: int) -> None:
+            for values in kept.values():
+                if len(values) > most:
+                    edge = sorted(values.items(), key=lambda x: (x[1], x[0]))[:sample]
+                    values.clear()
+                    values.update(edge)
+
         for batch in batches:
-            random, ordinary = set(), set()
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text or "")
                 for start, kind, end in spans:
                     value = text[start:end]
-                    random.add(ASSIGN.match(value)[2] if kind == 0 else value)
+                    value = ASSIGN.match(value)[2] if kind == 0 else value
+                    kept[True][value] = xxhash.xxh3_64_intdigest(value) >> 1
                 if not spans and text:
-                    ordinary.update(CANDIDATE.findall(text))
-            values = [*random, *ordinary]
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array([True] * len(random) + [False] * len(ordinary))], ["value", "random"])
+                    known = kept[False]
+                    for value in set(CANDIDATE.findall(text)).difference(known):
+                        known[value] = xxhash.xxh3_64_intdigest(value) >> 1
+            trim(4 * sample)
+        trim(sample)
+        for random, values in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(values), pa.string()), pa.array([random] * len(values), pa.bool_()), pa.array(list(values.values()), pa.int64())], ["value", "random", "h"])
 
-    return docs.select("text").mapInArrow(tidy(run), "value string, random boolean")
+    return docs.select("text").mapInArrow(tidy(run), "value string, random boolean, h long")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Models:
-    """The two models from a bounded sample of labelled values; with no labelled values, models that find nothing."""
-    values = labelled(docs).withColumn("h", F.xxhash64("value"))
-    parts = []
-    for random in (True, False):
-        part = values.where(F.col("random") == random).select("h", "value").distinct().orderBy("h", "value").limit(sample)
-        parts.append([r["value"] for r in part.collect()])
-    return Models.train(*parts) if all(parts) else Models(np.full((_STATES, _STATES), -1.0))
+    """The two models from a bounded sample of labelled values; with no ordinary values, models that find nothing.
+
+    Documents without a fixed pattern's match may hold secrets too. So the models are trained twice, the
+    second time without the ordinary values that the first ones find random. The corpus is read once; the
+    driver gets the numbers of steps, at most one row for each two characters.
+    """
+    values = cut(labelled(docs, sample)).distinct()
+    parts = [values.where(F.col("random") == random).orderBy("h", "value").limit(sample) for random in (True, False)]
+    few = cut(parts[0].unionByName(parts[1]).select("value", "random"))
+
+    def counted(models: Models | None) -> Models:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                random = batch.column(1).to_numpy(zero_copy_only=False)
+                for which in (True, False):
+                    own = batch.column(0).filter(pa.array(random == which)).to_pylist()
+                    if models and not which:
+                        own = [value for value in own if not models.random(value)]
+                    found = steps(own).ravel().astype(np.int64)
+                    at = np.flatnonzero(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([which] * len(at), pa.bool_()), pa.array(at), pa.array(found[at])], ["random", "step", "n"])
+
+        counts = {True: steps(made()), False: np.zeros((_STATES, _STATES))}
+        for row in few.mapInArrow(tidy(count), "random boolean, step long, n long").groupBy("random", "step").agg(F.sum("n").alias("n")).collect():
+            counts[row["random"]][divmod(row["step"], _STATES)] += row["n"]
+        return Models.counted(counts[True], counts[False]) if counts[False].any() else Models(np.full((_STATES, _STATES), -1.0))
+
+    return counted(counted(None))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -139,7 +191,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, models: Models | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans.
 
-    Null and empty texts have no spans and the digest of an empty string.
+    Null and empty texts have no spans and the digest of an empty string. Repeated rows are repeated, further
+    columns are left out, and an empty table gives no rows.
     """
     models = models or train(docs)
 
