@@ -40,7 +40,7 @@ ALPHABETS = (ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", ALPHABET[:26] +
 MADE, SEED = 2000, 11
 SHORTEST = 16
 #: A token is reported when the ratio is above this, in nats a character.
-THRESHOLD = 1.25
+THRESHOLD = 2.0
 #: Added to each character's count, and the weight of these single counts beside those of pairs.
 SMOOTHING, BACKOFF = 0.5, 5.0
 
