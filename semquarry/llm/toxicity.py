@@ -4,7 +4,8 @@ Two tags: toxic and other. Labelled tokens come from labelled documents: in toxi
 are far more frequent in toxic documents than in the rest carry the tag. The field's weights (of a
 token's word, its first and last letters, and of the steps between tags) are fitted by gradient ascent
 on its likelihood. Forward and backward passes over a whole text give each token's marginal; a logistic
-function of the largest, of their sum and of their density is the document's score.
+function of the largest, of their sum and of their density is the document's score. Every window of every
+labelled text takes part in the ascent, in blocks of windows drawn anew for each pass.
 
 At most ``SAMPLE`` labelled rows of either label are learnt from, those of smallest hash. Everything
 else covers all rows and whole texts.
@@ -31,9 +32,8 @@ SAMPLE = 4000
 FOLDS, HELD_OUT = 5, 0
 FEATURES = 1 << 18
 WINDOW = 64
-STEPS = 40
-#: Windows of one step of the gradient, which bounds the driver's memory.
-BLOCK = 1024
+#: Windows of one step of the gradient, the least number of passes over all windows, and of steps.
+BLOCK, PASSES, STEPS = 1024, 4, 60
 TABLE_ENTRIES = 300_000
 #: Texts scored at once, and values of their padded sequences, which bound a worker's memory.
 AT_ONCE, PADDED = 2000, 500_000
@@ -210,55 +210,51 @@ def _fit(vocabulary: Vocabulary, documents: list[np.ndarray], labels: list[int],
     stripped = Vocabulary()
     bare = stripped.numbers([w.strip(_STRIP) or w for w in vocabulary])
     marked = _marked(documents, y, bare)[bare] if len(bare) else np.zeros(0, bool)
-    windows: list[tuple[np.ndarray, np.ndarray]] = []
-    for i, (ids, label) in enumerate(zip(documents, labels, strict=True)):
-        for a in range(0, len(ids), WINDOW):
-            tags = marked[ids[a : a + WINDOW]] & bool(label)
-            if tags.any() or zlib.crc32(f"{i}:{a}".encode()) % 16 == 0:
-                windows.append((ids[a : a + WINDOW], tags))
-    if not any(tags.any() for _, tags in windows):  # nothing to tell the labels apart by
+    if not any(marked[ids].any() for ids, label in zip(documents, labels, strict=True) if label and len(ids)):  # nothing to tell the labels apart by
         rate = float((importance * y).sum() / importance.sum())
         model.scale = np.array([np.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
         return model
     features = np.array([_features(w) for w in vocabulary], np.int32)
-    windows.sort(key=lambda x: -len(x[0]))
-    longest = max((len(x[0]) for x in windows), default=0)
-    shape = (longest, len(windows))
-    feats, tags, mask = np.zeros((*shape, 3), np.int32), np.zeros(shape), np.zeros(shape)
-    for j, (words, t) in enumerate(windows):
-        feats[: len(words), j] = features[words]
-        tags[: len(words), j], mask[: len(words), j] = t, 1
-    used, place = np.unique(feats, return_inverse=True)
-    feats = place.reshape(*shape, 3).astype(np.int32)
-    del place
+    used, place = np.unique(features, return_inverse=True)
+    place = place.reshape(-1, 3).astype(np.int32)
+    # windows as stretches of all tokens, one after the other
+    tokens_ = np.concatenate(documents)
+    toxic = marked[tokens_] & np.repeat(y > 0, [len(ids) for ids in documents])
+    edges = np.concatenate([[0], np.cumsum([len(ids) for ids in documents])])
+    starts = np.concatenate([np.arange(a, b, WINDOW) for a, b in zip(edges, edges[1:], strict=False)])
+    lengths = np.minimum(WINDOW, edges[np.searchsorted(edges, starts, side="right")] - starts)
     w = np.zeros(len(used) + 1 + 4)  # words', the bias, the steps
     w[len(used)] = -4.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    before = np.vstack([np.zeros((1, len(windows))), tags[:-1]])
-    gold_steps = np.array([[((before == a) & (tags == b) & (mask > 0)).sum() for b in (0, 1)] for a in (0, 1)], float)
-    del before
-    blocks = [slice(at, at + BLOCK) for at in range(0, len(windows), BLOCK)]
-    for step in range(1, STEPS + 1):
-        gradient = np.zeros_like(w)
+    rng = np.random.default_rng(0)
+    blocks = -(-len(starts) // BLOCK)
+    passes = max(PASSES, -(-STEPS // blocks))
+    step = 0
+    for own in (order[k::blocks] for order in (rng.permutation(len(starts)) for _ in range(passes)) for k in range(blocks)):
+        step += 1
+        own = own[np.argsort(-lengths[own], kind="stable")]
+        on = np.arange(int(lengths[own[0]]))[:, None] < lengths[own]
+        at = np.minimum(starts[own] + np.arange(len(on))[:, None], len(tokens_) - 1)
+        f, tags = place[tokens_[at]], toxic[at] & on
         a = w[len(used) + 1 :].reshape(2, 2)
-        gradient[len(used) + 1 :] = gold_steps.ravel()
-        for own in blocks:
-            f, on = feats[:, own], mask[:, own]
-            e = w[f].sum(2) + w[len(used)]
-            odds_, r, s = _forward_backward(e * on, on.sum(1).astype(int), a)
-            error = (tags[:, own] - _sigmoid(odds_)) * on
-            gradient[: len(used)] += np.bincount(f.ravel(), np.repeat(error.ravel(), 3), len(used))
-            gradient[len(used)] += error.sum()
-            # expected steps: of the tag before, by its forward odds, and the tag after, by its backward odds
-            f1 = np.vstack([np.full((1, e.shape[1]), -1e9), r[:-1]])
-            pair = np.stack([np.stack([np.full_like(e, a[0, 0]), a[0, 1] + e + s]), np.stack([f1 + a[1, 0], f1 + a[1, 1] + e + s])])
-            pair -= pair.max((0, 1))
-            pair = np.exp(pair)
-            pair = pair / pair.sum((0, 1)) * on
-            gradient[len(used) + 1 :] -= pair.sum((2, 3)).ravel()
-        gradient -= 0.02 * w
+        e = w[f].sum(2) + w[len(used)]
+        odds_, r, s = _forward_backward(e * on, on.sum(1).astype(int), a)
+        error = (tags - _sigmoid(odds_)) * on
+        gradient = np.zeros_like(w)
+        gradient[: len(used)] = np.bincount(f.ravel(), np.repeat(error.ravel(), 3), len(used))
+        gradient[len(used)] = error.sum()
+        # steps as they are, less the expected ones: of the tag before, by its forward odds, and the tag after, by its backward odds
+        before = np.vstack([np.zeros((1, len(own)), bool), tags[:-1]])
+        f1 = np.vstack([np.full((1, e.shape[1]), -1e9), r[:-1]])
+        pair = np.stack([np.stack([np.full_like(e, a[0, 0]), a[0, 1] + e + s]), np.stack([f1 + a[1, 0], f1 + a[1, 1] + e + s])])
+        pair -= pair.max((0, 1))
+        pair = np.exp(pair)
+        pair = pair / pair.sum((0, 1)) * on
+        gold = np.array([[((before == x) & (tags == z) & on).sum() for z in (0, 1)] for x in (0, 1)], float)
+        gradient[len(used) + 1 :] = (gold - pair.sum((2, 3))).ravel()
+        gradient -= 0.02 / blocks * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        w += 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w += 0.25 * (1 - 0.9 * step / (passes * blocks)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model.weights[used], model.bias, model.steps = w[: len(used)], float(w[len(used)]), w[len(used) + 1 :].reshape(2, 2).copy()
     emission = model.weights[features].sum(1) + model.bias
     x = np.zeros((len(documents), 3))
@@ -313,7 +309,7 @@ def tagged(docs: DataFrame, model: Field) -> DataFrame:
     """All columns of ``docs`` with toxicity (double) and toxic_spans (array of [start, end) offsets in code points).
 
     Null and empty texts get the score of a text without tokens and no spans; a column of ``docs`` by
-    one of these names is replaced.
+    one of these names is replaced. Repeated rows are repeated, and an empty table gives no rows.
     """
     rest = docs.drop("toxicity", "toxic_spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers, whatever the input
@@ -334,7 +330,8 @@ def tagged(docs: DataFrame, model: Field) -> DataFrame:
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """A row without doc_id is held out or not by an empty id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = tagged(docs, train(docs, table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "toxic_spans")

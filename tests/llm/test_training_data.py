@@ -179,6 +179,15 @@ def test_toxicity(docs, labels):
     assert toxicity.tagged(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
 
 
+def test_toxicity_on_held_out_labels(spark):
+    big = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{big}/labels.parquet").where("toxic in (0, 1)")
+    found = toxicity.op6_toxicity(spark, big).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    toxic = [r["predicted"] for r in found if r["toxic"]]
+    clean = [r["predicted"] for r in found if not r["toxic"]]
+    assert sum(toxic) >= 0.85 * len(toxic) > 0 and sum(clean) <= 0.01 * len(clean)
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(0)
     e, steps = rng.normal(size=5), rng.normal(size=(2, 2))
