@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html.parser
 import re
 import zlib
 from collections import Counter
@@ -333,6 +334,57 @@ def test_wrappers(spark):
     assert '["p", "+"' in merged and '["li", "+"' in merged
 
 
+def test_wrappers_tell_template_from_content_without_an_article(spark):
+    page = "<html><body><div id=top>The Daily Herald<span>since 1901</span></div><div id=c><div>Our readers write</div><h2>T{i}</h2>{p}<div>Set in Garamond</div></div><div id=low>All rights are kept by us, whatever happens, and so on and on</div></body></html>"
+    body = lambda i: "".join(f"<p>Words {i} of {k} and more of them" for k in range(1 + i % 3))
+    made = [(i, "http://n.example/p", page.format(i=i, p=body(i)), i % 2, "x") for i in range(9)]
+    pages = spark.createDataFrame([*made, (30, "http://once.example", page.format(i=1, p=body(1)), 0, "x")], "page_id long, url string, html string, host long, rule string")
+    found = {r["page_id"]: r["text"] for r in rows(wrappers.main_text(pages))}
+    for i in range(9):
+        assert found[i] == " ".join([f"T{i}", *(f"Words {i} of {k} and more of them" for k in range(1 + i % 3))])
+    assert "Our readers write T1 Words 1" in found[30]  # a host's only page tells no template from content
+    copies = spark.createDataFrame([(i, "http://n.example/p", page.format(i=1, p=body(1))) for i in range(9)], "page_id long, url string, html string")
+    assert all("T1 Words 1 of 0 and more of them" in r["text"] for r in rows(wrappers.main_text(copies)))
+
+
+def plain_article(page):
+    """Text of the page's article by the standard library's parser."""
+    blocks, skip, inside = [[]], [], []
+
+    class Reader(html.parser.HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                inside.append(tag)
+            classes = (dict(attrs).get("class") or "").split()
+            if tag in ("script", "style", "nav", "footer", "aside", "form") or "ad" in classes or "comments" in classes:
+                skip.append(tag)
+            elif skip and tag == skip[-1]:
+                skip.append(tag)
+            if tag not in wrappers.INLINE:
+                blocks.append([])
+
+        def handle_endtag(self, tag):
+            if skip and tag == skip[-1]:
+                skip.pop()
+            if tag == "article":
+                inside.pop()
+            if tag not in wrappers.INLINE:
+                blocks.append([])
+
+        def handle_data(self, data):
+            if inside and not skip:
+                blocks[-1].append(data)
+
+    Reader(convert_charrefs=True).feed(page)
+    return " ".join(x for x in (" ".join("".join(b).split()) for b in blocks) if x)
+
+
+def test_wrappers_against_a_plain_parser(spark):
+    found = {r["page_id"]: r["text"] for r in rows(wrappers.op4_wrappers(spark, SF))}
+    pages = rows(spark.read.parquet(f"{SF}/pages.parquet"))
+    assert len(found) == len(pages) and sum(found[r["page_id"]] == plain_article(r["html"] or "") for r in pages) == len(pages)
+
+
 def test_attention(docs):
     found = rows(attention.scored(docs))
     tokens = lambda t: (t or "").encode().lower().split()
