@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from semquarry.llm import attention, jaccard, neardup, packing, pieces, secrets, shards, topk, toxicity, wrappers
+from semquarry.llm import attention, common, jaccard, neardup, packing, pieces, secrets, shards, topk, toxicity, wrappers
 
 SF = "/root/testdata/sf0.01"
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30_000))
@@ -200,6 +200,14 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(model.marginals([e, e[:2]])[0], own / total)
 
 
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(common, "_contract", lambda edges: edges)
+    edges = [(1000, i) for i in range(1, 300)] + [(2000 + i, 2001 + i) for i in range(40)] + [(3000, 3000 + i) for i in range(1, 200)] + [(4001, 4002), (4002, 4001), (5, 5)]
+    found = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {**dict.fromkeys([*range(1, 300), 1000], 1), **dict.fromkeys(range(2000, 2041), 2000), **dict.fromkeys(range(3000, 3200), 3000), 4001: 4001, 4002: 4001}
+    assert found == want and common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_jaccard(docs):
     found = {(r["doc_id"], i): r for i, r in enumerate(rows(jaccard.jaccard_classes(docs)))}
     assert len(found) == docs.count()
