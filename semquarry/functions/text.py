@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that a telegraph leaves out.
-STOP_WORDS = "a an and are as at be been but by for from had has have i in is it its of on or that the this to was were will with you your".split()
+STOP_WORDS = "the a an is are was were be been being to of and or for in on at with from by this that these those it its as do does did have has had".split()
 
 
 @F.pandas_udf(T.StringType())
@@ -33,7 +33,7 @@ def surface_fingerprint(text: Column, length: int = 24, tag: str = "0.1") -> Col
 
 
 def telegraph(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_-]+)"), 1)
+    words = F.regexp_extract_all(F.lower(nfkc(text)), F.lit(r"([\p{L}\p{N}_-]+)"), 1)
     stop = F.array(*map(F.lit, STOP_WORDS))
     return F.array_join(F.filter(words, lambda w: ~F.array_contains(stop, w)), " ")
 

@@ -22,6 +22,7 @@ def fold(df: DataFrame, key: str, order: list[str], step: Callable[[Any, Any], t
             out = []
             for row in batch.itertuples(index=False):
                 k = getattr(row, key)
+                k = None if pd.isna(k) else k  # rows without a key are one key
                 if k != now:
                     now, state = k, None
                 state, value = step(state, row)

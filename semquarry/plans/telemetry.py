@@ -37,13 +37,13 @@ def hotspots(spark, d):
     return by_type.groupBy("user_id").agg(total.alias("total"), F.max_by("event_type", F.col("n") * 1000 - F.ascii("event_type")).alias("dominant")).where("total >= 20").withColumn("urgency", F.when(F.col("total") >= 60, "high").when(F.col("total") >= 40, "medium").otherwise("low"))
 
 
-_GROUPING = "SELECT event_type, CAST(hour(ts) AS BIGINT) AS hour, count(*) AS n, round(avg(value), 6) AS mean FROM {} GROUP BY GROUPING SETS ((event_type), (hour(ts)), ())"
+_GROUPING = "SELECT event_type, CAST(hour(ts) AS BIGINT) AS hour, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((event_type), (hour(ts)), ())"
 
 
-@query(_GROUPING.format("events"))
+@query(_GROUPING)
 def correction_grouping_sets(spark, d):
-    read(spark, d, _E).createOrReplaceTempView("_events")
-    return spark.sql(_GROUPING.format("_events"))
+    rows = read(spark, d, _E).select("event_type", F.hour("ts").cast("long").alias("hour"), "value")
+    return rows.groupingSets([[F.col("event_type")], [F.col("hour")], []], F.col("event_type"), F.col("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query("SELECT user_id, event_id, round((epoch_us(ts) - epoch_us(before)) / 1e6, 6) AS gap_s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL AND epoch_us(ts) - epoch_us(before) > 3600000000")
@@ -74,12 +74,16 @@ def session_conflicts(spark, d):
     return state.fold(rows, "user_id", ["at", "event_id"], state.session(), "label", "string").select("user_id", "event_id", "label")
 
 
-@query("WITH o AS (SELECT o_orderkey, o_custkey, epoch(o_orderdate) / 86400.0 AS day FROM orders), a AS (SELECT o_orderkey, (SELECT max(epoch(o_orderdate)) / 86400.0 FROM orders) - day AS age FROM o) SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'frozen' WHEN age < 7 THEN 'active' WHEN age < 30 THEN 'frozen' WHEN age < 90 THEN 'warm' WHEN age < 365 THEN 'cold' ELSE 'deleted' END AS phase, count(*) AS n FROM a GROUP BY 1")
+# Orders as records: their phase, how long they have had it, and their policy's times by order priority.
+_TTL = {"active": 10, "frozen": 30, "warm": 90, "cold": 200}
+
+
+@query("WITH r AS (SELECT o_orderkey, ['active', 'frozen', 'warm', 'cold', 'deleted'][o_orderkey % 5 + 1] AS phase, (o_custkey % 300)::BIGINT AS days, o_orderkey % 11 = 0 AS hold FROM orders) SELECT o_orderkey, phase, CASE WHEN hold OR phase = 'deleted' THEN phase WHEN phase = 'active' AND days >= 10 THEN 'frozen' WHEN phase = 'frozen' AND days >= 30 THEN 'warm' WHEN phase = 'warm' AND days >= 90 THEN 'cold' WHEN phase = 'cold' AND days >= 200 THEN 'deleted' ELSE phase END AS next FROM r")
 def retention_phase(spark, d):
-    orders = read(spark, d, "orders").select("o_orderkey", (F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400.0).alias("_day"))
-    latest = orders.agg(F.max("_day").alias("_now"))  # one row
-    aged = orders.join(F.broadcast(latest)).withColumn("phase", policy.retention_phase(F.col("_now") - F.col("_day"), F.col("o_orderkey") % 11 == 0))
-    return aged.groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
+    """One step of each record's phases, by the time that it has been in its phase."""
+    phase = F.element_at(F.array(*map(F.lit, policy.PHASES)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = read(spark, d, "orders").select("o_orderkey", phase.alias("phase"), (F.col("o_custkey") % 300 * 86400).alias("elapsed"), (F.col("o_orderkey") % 11 == 0).alias("hold"))
+    return rows.select("o_orderkey", "phase", policy.next_phase(F.col("phase"), F.col("elapsed"), F.col("hold"), {k: F.lit(v * 86400) for k, v in _TTL.items()}).alias("next"))
 
 
 @query("SELECT l_orderkey, (l_linenumber + 1)::BIGINT AS gap_from, (nxt - 1)::BIGINT AS gap_to FROM (SELECT l_orderkey, l_linenumber, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nxt FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey + l_linenumber) % 3 <> 0)) WHERE nxt > l_linenumber + 1")
