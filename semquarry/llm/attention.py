@@ -37,7 +37,7 @@ FOLDS, HELD_OUT = 7, 2
 SHARES, LARGEST = 32, 2048
 WINDOW, SCORED = 32, 16
 EMBED, HIDDEN = 16, 32
-ROUNDS, BATCH, LEAST_STEPS, RATE = 4, 512, 400, 0.03
+ROUNDS, BATCH, STEPS, RATE = 4, 512, 240, 0.03
 TABLE_ENTRIES = 500_000
 #: Words whose counts every task has; the others' are joined. A bound on what is broadcast.
 FREQUENT = 200_000
@@ -194,13 +194,19 @@ class Attention:
 
     def _log_softmax(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, error: bool) -> tuple[np.ndarray, np.ndarray]:
         """(log-probabilities of the targets, probabilities less one at the targets where ``error`` asks for them)."""
+        at = np.arange(len(target))
         z = h @ w.T
         z += b
-        np.minimum(z, 80, out=z)
-        at = np.arange(len(target))
         logp = z[at, target]
-        np.exp(z, out=z)
+        with np.errstate(over="ignore"):
+            np.exp(z, out=z)
         total = z.sum(1)
+        if not np.isfinite(total.max(initial=0)) or not total.min(initial=1):  # logits beyond what exp can take
+            z = h @ w.T + b
+            z -= z.max(1, keepdims=True)
+            logp = z[at, target]
+            np.exp(z, out=z)
+            total = z.sum(1)
         logp -= np.log(total)
         if error:
             z /= total[:, None]
@@ -281,19 +287,19 @@ class Attention:
         return total, g
 
     def train(self, sequence: np.ndarray, lengths: np.ndarray, seed: int, rate: float) -> float:
-        """Steps over the texts' windows, at least ``LEAST_STEPS``; the mean log-probability of the last pass.
+        """Steps over all of the texts' windows, again where they make few; the mean log-probability of the last pass.
 
         Only a step's own windows are laid out at once.
         """
         text, start = window_starts(lengths, SCORED)
-        batch = min(BATCH, max(BATCH // 8, len(text) // LEAST_STEPS))  # one pass, unless there are few windows
+        batch = min(BATCH, max(BATCH // 8, 4 * len(text) // STEPS))
         kinds = [(np.flatnonzero(start == 0), WINDOW, max(1, batch * SCORED // WINDOW)), (np.flatnonzero(start), SCORED, batch)]
         starts = np.cumsum(lengths) - lengths
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         step, total, seen = 0, 0.0, 0
         per_pass = sum(-(-len(own) // size) for own, _, size in kinds)
-        passes = -(-LEAST_STEPS // per_pass)
+        passes = max(1, round(STEPS / per_pass))  # one, unless there are few windows
         for _ in range(passes):
             total, seen = 0.0, 0
             steps = [(own[at : at + size], queries) for own, queries, size in ((rng.permutation(own), queries, size) for own, queries, size in kinds) for at in range(0, len(own), size)]
