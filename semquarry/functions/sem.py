@@ -227,7 +227,11 @@ def flatten(sem: dict) -> Iterator[tuple[str, str, str, int, int, dict]]:
 
 def features(sem: dict) -> list[str]:
     """Distinct features for recall and precision: world, kind, predicates, polarity, modality and roles, with their paths."""
-    form = canonical(sem)
+    return form_features(canonical(sem))
+
+
+def form_features(form: dict) -> list[str]:
+    """The features of a canonical object."""
     out = {f"world:{form['world']}", f"kind:{form['kind']}"}
     for path, c in _numbered(form["clauses"], ""):
         out |= {f"predicate:{path}:{c['predicate']}", f"negated:{path}:{string(c['negated'])}"}
@@ -330,7 +334,11 @@ def _sha(value: str) -> str:
 
 def near_tokens(sem: dict) -> tuple[str, list[str]]:
     """(digest of what must agree, weighted tokens of what may differ)."""
-    form = canonical(sem)
+    return form_tokens(canonical(sem))
+
+
+def form_tokens(form: dict) -> tuple[str, list[str]]:
+    """The near-semantic digest and tokens of a canonical object."""
     return _sha(stringify(hard_signature(form))), sorted(_sha(f"{f}#{i}")[:16] for f, n in _near_features(form).items() for i in range(n))
 
 
@@ -415,3 +423,60 @@ def surface_object(text_: Column) -> Column:
     """The heuristic object of a text that was not parsed, as JSON."""
     clause = F.struct(F.lit("surface").alias("predicate"), F.struct(F.struct(F.lit("text").alias("type"), text_.alias("value")).alias("text")).alias("roles"), F.lit(False).alias("negated"))
     return F.to_json(F.struct(F.lit(SCHEMA).alias("schema"), F.lit("surface_telegraph").alias("kind"), F.lit("real").alias("world"), F.array(clause).alias("clauses")))
+
+
+#: The later schema, and what it allows as modalities and as fields of provenance and annotations.
+SCHEMA_02 = "lunum-sem/0.2"
+MODALITIES_02 = "fact opinion belief possibility necessity obligation permission ability intention certainty".split()
+FIELDS_02 = {"provenance": ("source", "author", "timestamp", "license"), "annotations": ("confidence", "tags", "notes")}
+
+
+def forward(sem: dict) -> tuple[dict, str, list[str]]:
+    """(object in the later schema, its fingerprint, warnings): modalities and fields are locked, times become strings."""
+    warnings: list[str] = []
+
+    def upgraded(clause: dict) -> dict:
+        out = dict(clause)
+        modality, time = out.get("modality"), out.get("time")
+        if isinstance(modality, str) and modality not in MODALITIES_02:
+            out["modality"] = "certainty"
+            warnings.append("MODALITY_LOCKED")
+        if time is not None and not isinstance(time, str):
+            out["time"] = json.dumps(time, ensure_ascii=False, separators=(",", ":")) if isinstance(time, (dict, list)) else string(time)
+            warnings.append("TIME_STRINGIFIED")
+        return out
+
+    out = dict(sem) | {"clauses": [upgraded(c) for c in sem["clauses"]]}
+    for part, allowed in FIELDS_02.items():
+        if out.get(part):
+            warnings += [f"{part.upper().rstrip('S')}_FIELD_REMOVED" for k in out[part] if k not in allowed]
+            out[part] = {k: out[part][k] for k in allowed if k in out[part]}
+    return out | {"schema": SCHEMA_02}, fingerprint(out | {"schema": SCHEMA}, tag="0.2"), warnings
+
+
+def record(sem: dict, category: str | None = None) -> dict:
+    """Canonical object, fingerprint, rendering and category of a record."""
+    form = canonical(sem)
+    return {"recordVersion": RECORD, "sem": form, "fingerprint": fingerprint(form), "renderings": {RENDERER: {"code": render(form), "profile": RENDERER, "tokens": None}}, "category": category or form["kind"]}
+
+
+forward_fingerprint = json_udf(lambda s: forward(s)[1], T.StringType())
+forward_warnings = json_udf(lambda s: forward(s)[2], STRINGS)
+
+
+def computed_fingerprint(value: Column, tag: str = "1.0") -> Column:
+    """A semantic fingerprint for JSON objects, a surface one for any other text."""
+    from .text import surface_fingerprint
+
+    @F.pandas_udf(T.StringType())
+    def semantic(values: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                found = json.loads(v)
+            except (TypeError, ValueError):
+                return None
+            return None if validate(found) else fingerprint(found, tag=tag)
+
+        return values.map(one)
+
+    return F.coalesce(semantic(value), surface_fingerprint(value, tag=tag))

@@ -57,17 +57,27 @@ def _timed(spark, d):
     return read(spark, d, _E).select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("value") < 60).alias("ok"), "event_type", "ts")
 
 
-@query()
+_ORDERED = "o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS at, value < 60 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+
+
+@query(f"WITH RECURSIVE {_ORDERED}, f AS (SELECT user_id, event_id, k, at AS opened, 1 AS n, true AS allowed FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN o.at - f.opened >= 86400 THEN o.at ELSE f.opened END, CASE WHEN o.at - f.opened >= 86400 THEN 1 ELSE least(f.n + 1, 2) END, o.at - f.opened >= 86400 OR f.n < 2 FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) SELECT user_id, event_id, allowed FROM f")
 def rate_limit_fixed(spark, d):
     return state.fold(_timed(spark, d).select("user_id", "event_id", "at"), "user_id", ["at", "event_id"], state.limiter(86400.0, 2), "allowed", "boolean").select("user_id", "event_id", "allowed")
 
 
-@query()
+_STATE = "CASE f.state WHEN 'closed' THEN CASE WHEN NOT o.ok AND f.n + 1 >= 3 THEN 'open' ELSE 'closed' END WHEN 'open' THEN CASE WHEN o.ok THEN 'half-open' ELSE 'open' END ELSE CASE WHEN o.ok THEN 'closed' ELSE 'open' END END"
+_FAILED = "CASE f.state WHEN 'closed' THEN CASE WHEN o.ok THEN 0 ELSE f.n + 1 END WHEN 'half-open' THEN CASE WHEN o.ok THEN 0 ELSE f.n END ELSE f.n END"
+
+
+@query(f"WITH RECURSIVE {_ORDERED}, f AS (SELECT user_id, event_id, k, (NOT ok)::INT AS n, 'closed' AS state FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.k, {_FAILED}, {_STATE} FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) SELECT user_id, event_id, state FROM f")
 def circuit_breaker_fold(spark, d):
     return state.fold(_timed(spark, d).select("user_id", "event_id", "at", "ok"), "user_id", ["at", "event_id"], state.breaker(3), "state", "string").select("user_id", "event_id", "state")
 
 
-@query()
+_SESSION = "s AS (SELECT user_id, event_id, ts, ['add', 'update', 'contradict', 'retrieve', 'expire'][event_id % 5 + 1] AS type, 'k' || event_id % 3 AS item FROM events), b AS (SELECT *, last_value(CASE WHEN type IN ('add', 'update') THEN 'live' WHEN type <> 'retrieve' THEN type END IGNORE NULLS) OVER (PARTITION BY user_id, item ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM s)"
+
+
+@query(f"WITH {_SESSION} SELECT user_id, event_id, CASE WHEN type = 'add' AND old = 'live' THEN 'conflict' WHEN type = 'retrieve' THEN CASE WHEN old = 'live' THEN 'fresh' WHEN old IS NULL THEN 'missing' ELSE 'stale' END ELSE type END AS label FROM b")
 def session_conflicts(spark, d):
     kinds = F.element_at(F.array(*map(F.lit, ["add", "update", "contradict", "retrieve", "expire"])), (F.col("event_id") % 5 + 1).cast("int"))
     rows = _timed(spark, d).select("user_id", "event_id", "at", kinds.alias("type"), F.concat(F.lit("k"), F.col("event_id") % 3).alias("item"))
@@ -108,10 +118,10 @@ def hash_chain_verify(spark, d):
     return ordering.chain_breaks(chain, ["user_id"], "idx", "own", "prev").select("user_id", "event_id")
 
 
-@query("WITH RECURSIVE e AS (SELECT c_custkey AS p, c_custkey * 2 AS c FROM customer WHERE c_custkey * 2 <= 200 UNION SELECT c_custkey, c_custkey * 2 + 1 FROM customer WHERE c_custkey * 2 + 1 <= 200), walk AS (SELECT p AS ancestor, c AS node, 1 AS depth FROM e WHERE p <> c UNION ALL SELECT w.ancestor, e.c, w.depth + 1 FROM walk w JOIN e ON w.node = e.p AND e.p <> e.c) SELECT ancestor, node, min(depth)::INTEGER AS depth FROM walk GROUP BY 1, 2")
+@query("WITH RECURSIVE e AS (SELECT c_custkey AS p, c_custkey * 2 AS c FROM customer UNION SELECT c_custkey, c_custkey * 2 + 1 FROM customer), walk AS (SELECT p AS ancestor, c AS node, 1 AS depth FROM e WHERE p <> c UNION ALL SELECT w.ancestor, e.c, w.depth + 1 FROM walk w JOIN e ON w.node = e.p AND e.p <> e.c) SELECT ancestor, node, min(depth)::INTEGER AS depth FROM walk GROUP BY 1, 2")
 def lineage_recursive(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("p"))
-    edges = c.select("p", F.explode(F.array(F.col("p") * 2, F.col("p") * 2 + 1)).alias("c")).where("c <= 200")
+    edges = c.select("p", F.explode(F.array(F.col("p") * 2, F.col("p") * 2 + 1)).alias("c"))
     return ordering.lineage(edges, "p", "c")
 
 
