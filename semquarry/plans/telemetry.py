@@ -57,10 +57,10 @@ def _timed(spark, d):
     return read(spark, d, _E).select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("value") < 60).alias("ok"), "event_type", "ts")
 
 
-_ORDERED = "o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS at, value < 60 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+_ORDERED = "o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, value < 60 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
 
 
-@query(f"WITH RECURSIVE {_ORDERED}, f AS (SELECT user_id, event_id, k, at AS opened, 1 AS n, true AS allowed FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN o.at - f.opened >= 86400 THEN o.at ELSE f.opened END, CASE WHEN o.at - f.opened >= 86400 THEN 1 ELSE least(f.n + 1, 2) END, o.at - f.opened >= 86400 OR f.n < 2 FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) SELECT user_id, event_id, allowed FROM f")
+@query(f"WITH RECURSIVE {_ORDERED}, f AS (SELECT user_id, event_id, k, sec AS opened, 1 AS n, true AS allowed FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN o.sec - f.opened >= 86400 THEN o.sec ELSE f.opened END, CASE WHEN o.sec - f.opened >= 86400 THEN 1 ELSE least(f.n + 1, 2) END, o.sec - f.opened >= 86400 OR f.n < 2 FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) SELECT user_id, event_id, allowed FROM f")
 def rate_limit_fixed(spark, d):
     return state.fold(_timed(spark, d).select("user_id", "event_id", "at"), "user_id", ["at", "event_id"], state.limiter(86400.0, 2), "allowed", "boolean").select("user_id", "event_id", "allowed")
 
