@@ -494,7 +494,53 @@ def test_pipeline(spark, docs, labels, tmp_path):
     docs.withColumn("n_chars", F.length("text")).write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     table = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        table = stage(spark, table, str(tmp_path))
+    stages, plain, stored = dict(corpus_pipeline.STAGES), rows(table), tmp_path / "stages"
+    model = toxicity.train(table, labels)
+    plain = [r for r in plain if model.scores([r["text"]])[0][0] < corpus_pipeline.TOXIC]
+    # one document of each group that similar sets of words link: all pairs, then the smallest id that links reach
+    sets = [set(jaccard.shingles(r["text"]).tolist()) for r in plain]
+    group = list(range(len(plain)))
+    for _ in plain:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x and len(x & y) >= 0.8 * len(x | y):
+                    group[i] = group[j] = min(group[i], group[j])
+    by_group = {}
+    for g, r in sorted(zip(group, plain, strict=True), key=lambda x: (x[1]["doc_id"] is None, x[1]["doc_id"] or 0)):
+        by_group.setdefault(g, r)
+    plain = list(by_group.values())
+    for name in ("toxicity", "jaccard", "secrets"):
+        stages[name](spark, table, str(tmp_path)).write.parquet(str(stored / name))
+        before, table = table, spark.read.parquet(str(stored / name))
         assert sorted(table.columns) == sorted([*docs.columns, "n_chars"]), name
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= table.count() > 0
+        if name == "jaccard":
+            assert Counter((r["doc_id"], r["text"]) for r in rows(table)) == Counter((r["doc_id"], r["text"]) for r in plain)
+    models, masked = secrets.train(before), Counter()
+    for r in plain:
+        text, upto, out = r["text"] or "", 0, ""
+        for start, kind, end in plain_spans(text, models)[1]:
+            start += secrets.ASSIGN.match(text[start:end]).start(2) if kind == 0 else 0
+            out, upto = out + text[upto:start] + "[secret]", end
+        masked[r["doc_id"], None if r["text"] is None else out + text[upto:]] += 1
+    assert Counter((r["doc_id"], r["text"]) for r in rows(table)) == masked
+    whole, want = packing.byte_ids().whole, Counter()
+    for (doc, text), n in masked.items():
+        want[doc] += n * (len(whole.encode(text or "", add_special_tokens=False).ids) + 1)
+    packed = Counter()
+    for r in rows(corpus_pipeline.run(spark, str(tmp_path))):
+        packed[r["doc_id"]] += r["length"]
+    assert packed == want
+
+
+def test_plan_is_near_the_bound():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        lengths = Counter(rng.integers(1, 1025, rng.integers(5, 400)).tolist())
+        _, n = packing.plan(dict(lengths), 1024)
+        large = sorted((k for k, c in lengths.items() for _ in range(c) if 3 * k > 1024), reverse=True)
+        pairs, j = 0, len(large) - 1
+        for i, k in enumerate(large):  # what fits nowhere else: the largest with the smallest
+            if i < j and k + large[j] <= 1024:
+                pairs, j = pairs + 1, j - 1
+        bound = max(-(-sum(k * c for k, c in lengths.items()) // 1024), len(large) - pairs)
+        assert bound <= n <= 1.12 * bound + 1
