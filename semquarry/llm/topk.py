@@ -1,16 +1,19 @@
 """Exact top-k search by cover trees of queries and data.
 
 The top of one cover tree over all rows, of at most ``CELLS`` leaves, is fitted to a bounded sample: nested
-levels of centres, each level's radius half of the one's above. Every row, query or candidate, goes to the
-leaf of the nearest centre, and all rows' distances give the leaves' covering radii. First each query is
-searched in its own leaf, which gives every leaf's queries a worst k-th score. Then pairs of a query leaf and
-a data leaf are pruned, from the root down, where no inner product below them, by the centres' product and
-the radii, can reach that score, and only the pairs that are left are searched. A task holds at most about
-``ROWS`` candidates and ``QUERIES`` queries of a pair; it has a cover tree of either side and prunes pairs of
-their nodes in the same way, beginning with the k-th scores that its queries have already.
-
-How much is pruned depends on the vectors: of clustered ones nearly all, of ones that fill all directions
-alike nothing, since then no covering radius is small beside the differences of scores.
+levels of centres, each level's radius half of the one's above, or as near to that as a bounded number of
+children comes. Every row, query or candidate, goes to the leaf of the nearest centre, and all rows' distances
+give the leaves' covering radii. First each query is searched in its own leaf, which gives every leaf's
+queries a worst k-th score. Then pairs of a query leaf and a data leaf are pruned, from the root down, where
+no inner product below them, by the centres' product and the radii, can reach that score, and only the pairs
+that are left are searched, the queries of neighbouring leaves together. A task holds at most about ``ROWS``
+candidates and ``QUERIES`` queries; it has a cover tree of either side and prunes pairs of their nodes in the
+same way, beginning with the k-th scores that its queries have already.
+
+How much is pruned depends on the vectors: of clustered ones nearly all. Of ones that fill all directions
+alike no bound can prune anything, since no covering radius is small beside the differences of scores; there
+the children of a node don't come nearer to its rows than it is itself, the node stays a leaf, and its rows
+are compared in whole blocks.
 """
 
 from __future__ import annotations
@@ -34,12 +37,15 @@ ROWS, QUERIES = 4096, 1024
 LEAF = 16
 #: Leaves of the tree's top, and rows that it is fitted to; every row is indexed.
 CELLS, SAMPLE = 256, 10_000
+#: A node has at most this times the root of its rows as children, and stays a leaf if they leave more of its radius.
+FANOUT, SHRINK = 4, 0.9
 
 
 class CoverTree:
     """Nodes in order, the root first: centres, covering radii, children and rows (of leaves only).
 
-    A node's children cover its rows within half of its radius; the first has the node's own centre.
+    A node's children cover its rows within half of its radius, or within ``SHRINK`` of it where this would
+    take too many; the first has the node's own centre.
     """
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF, most: int | None = None):
@@ -55,12 +61,15 @@ class CoverTree:
                 continue
             picked, away = [centres[node]], self._away(rows, centres[node])
             owner = np.zeros(len(rows), np.int64)
-            while away.max() > radius[node] / 2 and (not most or leaves + len(picked) <= most):
+            fanout = FANOUT * int(np.sqrt(len(rows)) + 1)
+            while away.max() > radius[node] / 2 and len(picked) < fanout and (not most or leaves + len(picked) <= most):
                 far = rows[away.argmax()]
                 d = self._away(rows, far)
                 owner[d < away] = len(picked)
                 away = np.minimum(away, d)
                 picked.append(far)
+            if away.max() > SHRINK * radius[node]:
+                continue
             self.rows[node] = rows[:0]
             for i, centre in enumerate(picked):
                 own = rows[owner == i]
@@ -74,7 +83,13 @@ class CoverTree:
         return np.sqrt(((self.x[rows] - self.x[centre]) ** 2).sum(1)) if len(rows) else np.zeros(0)
 
     def leaves(self) -> np.ndarray:
-        return np.array([i for i, kids in enumerate(self.kids) if not kids], np.int64)
+        """The leaves from one side of the tree to the other, so that neighbours follow each other."""
+        out, waiting = [], [0] if self.kids and len(self.radius) else []
+        while waiting:
+            node = waiting.pop()
+            waiting += self.kids[node][::-1]
+            out += [] if self.kids[node] else [node]
+        return np.array(out, np.int64)
 
 
 def bounds(a: CoverTree, i: np.ndarray | int, b: CoverTree, j: np.ndarray) -> np.ndarray:
@@ -178,7 +193,7 @@ def _top(rows: DataFrame) -> dict[int, CoverTree]:
     """The tree's top for each length of vectors, from the ``SAMPLE`` rows of smallest hash."""
     sample = rows.select("dim", "v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
     out: dict[int, CoverTree] = {}
-    for dim in {r["dim"] for r in sample}:
+    for dim in sorted({r["dim"] for r in sample}):
         out[dim] = CoverTree(np.array([np.frombuffer(r["v"], np.float64) for r in sample if r["dim"] == dim]), 1, CELLS)
     return out
 
@@ -257,20 +272,28 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     by = ["dim", "cell"]
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("query"), 1)).alias("nq"), F.max("away").alias("data_radius"), F.max(F.when(F.col("query"), F.col("away"))).alias("query_radius"))
     sizes = cut(sizes)
-    # parts of a leaf's rows, as candidates and as queries, by a hash
-    parted = rows.join(sizes.select(*by, F.ceil(F.col("n") / ROWS).alias("_d"), F.ceil(F.col("nq") / QUERIES).alias("_q")), by)
-    parted = parted.withColumns({"d": F.pmod(F.xxhash64("row"), F.col("_d")).cast("int"), "q": F.when(F.col("query"), F.pmod(F.xxhash64("row"), F.col("_q"))).cast("int")}).drop("away", "query")
+    # parts of a leaf's rows by a hash, and groups of neighbouring leaves of about QUERIES queries
+    leaf_sizes = sorted((r["dim"], r["cell"], r["nq"]) for r in sizes.collect())  # CELLS rows for each length of vectors
+    groups_of, taken = [], {}
+    for dim, cell, nq in leaf_sizes:
+        before = taken.get(dim, 0)
+        taken[dim] = before + nq
+        groups_of.append((dim, cell, before // QUERIES))
+    grouped = F.broadcast(spark.createDataFrame(groups_of, "dim int, cell int, part int"))
+    parted = rows.join(F.broadcast(sizes.select(*by, F.ceil(F.col("n") / ROWS).alias("_d"), F.ceil(F.col("nq") / QUERIES).alias("_q"))), by).join(grouped, by)
+    parted = parted.withColumns({"d": F.pmod(F.xxhash64("row"), F.col("_d")).cast("int"), "q": F.when(F.col("query"), F.pmod(F.xxhash64("row"), F.col("_q"))).cast("int")}).drop("away", "query", "_d", "_q")
     task = ["dim", "cell", "d", "from", "q"]
     columns = [*task, "query", "row", "vec_id", "v", "known"]
+    data_parts = sizes.select(*by, F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / ROWS).cast("int") - 1)).alias("d"))
 
     def searched(pairs: DataFrame | None, known: DataFrame | None) -> DataFrame:
-        """The best of each query of the pairs (dim, from, cell); of its own leaf, where no pairs are given."""
+        """The best of each query of the pairs (dim, from, cell) of a group and a leaf; of its own leaf, where no pairs are given."""
         none = F.lit(None).cast("long")
-        asked = parted.where("q is not null").withColumn("from", F.col("cell")).join(known, "row", "left") if known is not None else parted.where("q is not null").withColumns({"from": F.col("cell"), "known": none})
+        asked = parted.where("q is not null").withColumn("from", F.col("cell") if pairs is None else F.col("part"))
+        asked = asked.withColumn("known", none) if known is None else asked.join(known, "row", "left")
         pairs = sizes.where("nq > 0").select(*by, F.col("cell").alias("from")) if pairs is None else pairs
-        pairs = pairs.join(sizes.select(*by, F.ceil(F.col("n") / ROWS).cast("int").alias("_d")), by).join(sizes.select("dim", F.col("cell").alias("from"), F.ceil(F.col("nq") / QUERIES).cast("int").alias("_q")), ["dim", "from"])
-        pairs = pairs.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("_d") - 1))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))
-        pairs = pairs.select(*task)
+        parts = asked.select("dim", "from", "q").distinct()  # a hot leaf's queries have several
+        pairs = cut(pairs.join(data_parts, by).join(parts, ["dim", "from"]).select(*task))
         data = parted.drop("q").join(pairs, ["dim", "cell", "d"]).withColumns({"query": F.lit(False), "known": none})
         queries = asked.drop("cell", "d").join(pairs, ["dim", "from", "q"]).withColumn("query", F.lit(True))
         both = data.select(columns).unionByName(queries.select(columns)).repartition(*task).sortWithinPartitions(*task, F.col("vec_id").asc_nulls_last(), "row")
@@ -305,9 +328,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
             query, data, least = np.full(len(leaves), -1.0), np.full(len(leaves), -1.0), np.full(len(leaves), np.inf)
             for cell, *values in cells:
                 query[cell], data[cell], least[cell] = values
-            pairs += [(dim, j, i) for i, j in open_pairs(tree, leaves, query, data, least)]
-    if pairs:
-        first = first.drop("rank").unionByName(searched(spark.createDataFrame(pairs, "dim int, cell int, from int"), known))
+            part_of = {cell: part for d, cell, part in groups_of if d == dim}
+            pairs += sorted({(dim, j, part_of[i]) for i, j in open_pairs(tree, leaves, query, data, least)})
+    if pairs:  # a group's queries may meet their own leaf again
+        first = first.drop("rank").unionByName(searched(spark.createDataFrame(pairs, "dim int, cell int, from int"), known)).dropDuplicates(["row", "of"])
     return best(first.select("row", "query_id", "vec_id", "of", "score")).select("query_id", "rank", "vec_id", "score")
 
 

@@ -305,7 +305,7 @@ def test_cover_trees_are_nested_and_cover():
     for node in range(len(tree.kids) - 1, -1, -1):
         for i, kid in enumerate(tree.kids[node]):
             below[node] |= below[kid]
-            assert tree.radius[kid] <= tree.radius[node] / 2 and (i or (tree.centre[kid] == tree.centre[node]).all())
+            assert tree.radius[kid] <= tree.radius[node] * topk.SHRINK and (i or (tree.centre[kid] == tree.centre[node]).all())
         assert np.sqrt(((x[list(below[node])] - tree.centre[node]) ** 2).sum(1)).max() <= tree.radius[node] + 1e-9
 
 
