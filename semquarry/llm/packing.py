@@ -28,7 +28,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Bounds of a worker's table of words.
 TABLE_ENTRIES, LONGEST_ENTRY = 200_000, 100
-RANK_BUCKETS = 256
+#: Buckets of a length's rows for their ranks: so many at least, and so many rows in each at most, nearly.
+RANK_BUCKETS, BUCKET_ROWS = 256, 50_000
 
 
 class ByteIds:
@@ -181,7 +182,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, **kinds) -> DataFrame:
     rows, _ = plan(counts, capacity)
     # a few rows for each two lengths at most, whatever the size of the input
     where = F.broadcast(spark.createDataFrame(rows, "length long, _from long, _number long, _first long, offset long"))
-    cuts = cuts.withColumn("_h", hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("piece").cast("string"))).withColumn("_b", F.col("_h") % RANK_BUCKETS)
+    cuts = cuts.withColumn("_h", hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("piece").cast("string"))).withColumn("_b", F.col("_h") % max(RANK_BUCKETS, -(-max(counts.values(), default=0) // BUCKET_ROWS)))
     placed = ranked(cuts, ["length"], "_b", [F.col(c) for c in ("_h", "doc_id", "piece", "ids_crc32")], "_r").drop("_h", "_b")
     placed = placed.join(where, (placed["length"] == where["length"]) & (F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_from") + F.col("_number"))).drop(where["length"])
     return placed.withColumn("sequence_id", F.col("_first") + F.col("_r") - F.col("_from")).drop("_r", "_from", "_number", "_first")
