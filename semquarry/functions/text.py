@@ -19,6 +19,21 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.StringType())
+def normalization_form(text: pd.Series) -> pd.Series:
+    """NFC or NFD where the text is in one of them only, else the first compatible form that it is in, or unknown."""
+
+    def form(t):
+        if t is None:
+            return None
+        composed, decomposed = unicodedata.is_normalized("NFC", t), unicodedata.is_normalized("NFD", t)
+        if composed != decomposed:
+            return "NFC" if composed else "NFD"
+        return next((f for f in ("NFKC", "NFKD") if unicodedata.is_normalized(f, t)), "unknown")
+
+    return text.map(form)
+
+
 def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(nfkc(text), r"(?U)[\s\x{FEFF}]+", " "))
 
