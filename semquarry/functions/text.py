@@ -70,6 +70,11 @@ def word_punct_tokens(text: Column) -> Column:
     return (F.size(F.regexp_extract_all(text, F.lit(r"""([.,!?;:()"']|[^\s.,!?;:()"']+)"""), 1)) + 2).cast("long")
 
 
+def symbol_tokens(text: Column) -> Column:
+    """Words of ASCII letters, digits and underscores, and every other mark by itself."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_]+|[^\sA-Za-z0-9_])"), 1)).cast("long")
+
+
 def byte_tokens(text: Column, bytes_per_token: float = 3.5) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.octet_length(text) / bytes_per_token)).cast("long")
 
