@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,12 +42,27 @@ def string(value) -> str:
     return "" if value is None else value if isinstance(value, str) else number(value) if isinstance(value, (bool, int, float)) else stringify(value)
 
 
+#: Strings of at most this length are kept with what they become: names repeat from object to object.
+SHORT = 100
+
+
+def _kept(f: Callable[[str], str]) -> Callable[[str], str]:
+    """``f`` with a bounded table of its results for short strings."""
+    known = lru_cache(1 << 16)(f)
+    return lambda value: known(value) if len(value) <= SHORT else f(value)
+
+
+_text = _kept(lambda value: _SPACE.sub(" ", unicodedata.normalize("NFKC", value)).strip(" "))
+_identifier = _kept(lambda value: _text(value).replace(" ", "_").lower())
+_quote = _kept(lambda value: json.dumps(value, ensure_ascii=False))
+
+
 def text(value) -> str:
-    return _SPACE.sub(" ", unicodedata.normalize("NFKC", string(value))).strip(" ")
+    return _text(string(value))
 
 
 def identifier(value) -> str:
-    return text(value).replace(" ", "_").lower()
+    return _identifier(string(value))
 
 
 def number(x: float) -> str:
@@ -80,13 +96,13 @@ def stringify(value) -> str:
     if value is None:
         return "null"
     if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
+        return _quote(value)
     if isinstance(value, (bool, int, float)):
         return number(value)
     if isinstance(value, list):
         return "[" + ",".join(map(stringify, value)) + "]"
-    keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{stringify(value[k])}" for k in keys) + "}"
+    keys = sorted(value) if all(map(str.isascii, value)) else sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+    return "{" + ",".join([f"{_quote(k)}:{stringify(value[k])}" for k in keys]) + "}"
 
 
 def validate(sem) -> list[str]:
@@ -332,6 +348,9 @@ def _sha(value: str) -> str:
     return hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+_token = _kept(lambda value: _sha(value)[:16])
+
+
 def near_tokens(sem: dict) -> tuple[str, list[str]]:
     """(digest of what must agree, weighted tokens of what may differ)."""
     return form_tokens(canonical(sem))
@@ -339,7 +358,7 @@ def near_tokens(sem: dict) -> tuple[str, list[str]]:
 
 def form_tokens(form: dict) -> tuple[str, list[str]]:
     """The near-semantic digest and tokens of a canonical object."""
-    return _sha(stringify(hard_signature(form))), sorted(_sha(f"{f}#{i}")[:16] for f, n in _near_features(form).items() for i in range(n))
+    return _sha(stringify(hard_signature(form))), sorted([_token(f"{f}#{i}") for f, n in _near_features(form).items() for i in range(n)])
 
 
 def near_text(sem: dict) -> str:

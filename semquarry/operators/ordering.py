@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .partitioning import stored
+
 
 def freshness(age_days: Column, half_life_days: float = 7.0) -> Column:
     return F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age_days) / half_life_days)
@@ -49,26 +50,17 @@ def chain_breaks(df: DataFrame, by: Sequence[str], index: str, own: str, previou
     return df.withColumn("_prev", F.lag(own).over(w)).withColumn("_n", F.row_number().over(w) - 1).where(~F.col("_prev").eqNullSafe(F.col(previous)) | (F.col("_n") != F.col(index))).drop("_prev", "_n")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Stored in the checkpoint folder, a temporary one where none is set, and read from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="semquarry-"))
-    return df.checkpoint(eager=True)
-
-
 def lineage(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """(ancestor, node, depth): shortest walks along edges, of any length, but none back to its start.
 
     Each round joins the walks end to end, so that it has all of twice the length, until one finds no new pair.
     """
-    walks = _cut(edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node"), F.lit(1).alias("depth")).where("ancestor <> node").distinct())
+    walks = stored(edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node"), F.lit(1).alias("depth")).where("ancestor <> node").distinct())
     n = walks.count()
     while True:
         onward = walks.select(F.col("ancestor").alias("_mid"), F.col("node").alias("_to"), F.col("depth").alias("_more"))
         longer = walks.join(onward, F.col("node") == F.col("_mid")).where(F.col("ancestor") != F.col("_to")).select("ancestor", F.col("_to").alias("node"), (F.col("depth") + F.col("_more")).alias("depth"))
-        after = _cut(walks.unionByName(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")))
+        after = stored(walks.unionByName(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")))
         before, n = n, after.count()
         if n == before:
             return walks

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import pairs, sem
 from ..operators import retrieval
+from ..operators.partitioning import spread, stored
 from .surface import query, read
 
 
 def objects(spark, d) -> DataFrame:
     """id, sem: two objects per order, of which the odd one differs from its twin in surface form only."""
     role = lambda v, kind: F.struct(F.lit(kind).alias("type"), v.cast("string").alias("id"))
-    o = read(spark, d, "orders")
+    o = spread(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
 
     def made(key, predicate):
         clause = F.struct(predicate.alias("predicate"), F.struct(role(F.col("o_custkey") % 50, "Customer").alias("agent"), F.struct(F.floor(F.col("o_totalprice") / 1000).alias("value")).alias("value")).alias("roles"), (F.col("o_orderkey") % 5 == 0).alias("negated"), F.when(F.col("o_orderkey") % 3 == 0, "must").alias("modality"))
@@ -64,7 +65,8 @@ def feature_compare(spark, d):
 @query("WITH c AS (SELECT o_orderkey % 5 = 0 AS n, o_orderkey % 3 = 0 AS m, o_custkey % 50 AS a, floor(o_totalprice / 1000) AS v, min(o_orderkey) AS k, count(*) AS rows FROM orders GROUP BY ALL) SELECT x.k * 2 AS left_id, y.k * 2 + 1 AS right_id, x.rows AS left_rows, y.rows AS right_rows, CASE WHEN x.a = y.a THEN 1.0 ELSE round(17 / 21.0, 6) END::DOUBLE AS similarity FROM c x JOIN c y USING (n, m, v)")
 def near_semantic_join(spark, d):
     """Pairs of classes of near objects; a class is all objects of one fingerprint, named by its smallest id."""
-    near = objects(spark, d).select("id", sem.near_parts(sem.near_fingerprint("sem")).alias("p")).select("id", "p.hard", "p.tokens")
+    near = objects(spark, d).select("id", sem.near_parts(sem.near_fingerprint("sem")).alias("p"))
+    near = stored(near.select("id", "p.hard", F.transform("p.tokens", lambda t: F.conv(t, 16, -10).cast("long")).alias("tokens")))  # 16 hex digits are 64 bits
     return retrieval.near_classes(near.where("id % 2 = 0").withColumnRenamed("id", "left_id"), near.where("id % 2 = 1").withColumnRenamed("id", "right_id"), "left_id", "right_id")
 
 
@@ -83,7 +85,7 @@ _KINDS = 7
 
 def changed(spark, d) -> DataFrame:
     """id, kind, a, b: pairs of objects as JSON."""
-    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % _KINDS).alias("kind"), F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("c"), F.concat(F.lit("k"), F.col("o_orderkey") % 10).alias("k"), F.floor("o_totalprice").alias("v"))
+    o = spread(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")).select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % _KINDS).alias("kind"), F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("c"), F.concat(F.lit("k"), F.col("o_orderkey") % 10).alias("k"), F.floor("o_totalprice").alias("v"))
     n, m, i = F.col("id") % 5 == 0, F.when(F.col("id") % 3 == 0, "must"), F.col("id") % 2 == 0
     filler = lambda x: F.struct(F.lit("person").alias("type"), x.alias("id"))
 

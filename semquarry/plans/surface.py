@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy, sem, text
 from ..operators import context, metrics, ordering, retrieval
+from ..operators.partitioning import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,18 +35,18 @@ ROUGH = "greatest(1, ceil(length({}) / 4.0))::BIGINT"
 
 @query(f"SELECT doc_id, 'lsf:0.1:sha256:' || substr(sha256({NORM}), 1, 24) AS fp FROM documents")
 def surface_fingerprint(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.surface_fingerprint(F.col("text")).alias("fp"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.surface_fingerprint(F.col("text")).alias("fp"))
 
 
 @query(f"SELECT fp, count(*) AS n, min(doc_id) AS first_id, count(DISTINCT lang) AS langs FROM (SELECT doc_id, lang, 'lsf:0.1:sha256:' || substr(sha256({NORM}), 1, 24) AS fp FROM documents) GROUP BY fp")
 def surface_dedup_groups(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", "lang", text.surface_fingerprint(F.col("text")).alias("fp"))
+    rows = spread(read(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", text.surface_fingerprint(F.col("text")).alias("fp"))
     return rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.countDistinct("lang").alias("langs"))
 
 
 @query(f"SELECT doc_id, {TELEGRAPH} AS code FROM documents")
 def telegraph(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.telegraph(F.col("text")).alias("code"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.telegraph(F.col("text")).alias("code"))
 
 
 @query(rf"""SELECT doc_id, {ROUGH.format('text')} AS rough, ceil(length(text) / 4.0)::BIGINT AS estimated, (len(regexp_extract_all(text, '([.,!?;:()"'']|[^\s.,!?;:()"'']+)')) + 2)::BIGINT AS word_punct, greatest(1, ceil(strlen(text) / 3.5))::BIGINT AS by_bytes FROM documents""")
@@ -223,7 +224,7 @@ shares AS (SELECT item_id, doc_id, round(c / n::DOUBLE, 6) AS overlap FROM hits
 
 @query(f"WITH {_LEXICAL} SELECT * FROM shares WHERE overlap >= 0.3")
 def lexical_retrieval(spark, d):
-    return retrieval.lexical(read(spark, d, "benchmark").select("item_id", "text"), read(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
+    return retrieval.lexical(read(spark, d, "benchmark").select("item_id", "text"), spread(read(spark, d, "documents").select("doc_id", "text")), "item_id", "doc_id")
 
 
 _FP = f"substr(sha256({NORM}), 1, 24)"
@@ -242,7 +243,7 @@ _SAME = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 @query(f"WITH {_LEXICAL}, same AS (SELECT item_id, doc_id FROM (SELECT item_id, {_SAME} AS k FROM benchmark) JOIN (SELECT doc_id, {_SAME} AS k FROM documents) USING (k)), both_ AS (SELECT item_id, doc_id, 0.8 AS s FROM same UNION ALL SELECT item_id, doc_id, 0.2 * overlap FROM shares) SELECT item_id, doc_id, round(sum(s), 6) AS score FROM both_ GROUP BY item_id, doc_id HAVING round(sum(s), 6) >= 0.4")
 def hybrid_retrieval(spark, d):
     """All three searches, over surface objects, whose texts are literals: they are near exactly where they are equal."""
-    q, docs = read(spark, d, "benchmark").select("item_id", "text"), read(spark, d, "documents").select("doc_id", "text")
+    q, docs = read(spark, d, "benchmark").select("item_id", "text"), spread(read(spark, d, "documents").select("doc_id", "text"))
     made = lambda rows, key: rows.select(key, sem.surface_object(F.col("text")).alias("s")).select(key, sem.sem_fingerprint("s").alias("fp"), sem.near_parts(sem.near_fingerprint("s")).alias("n"))
     a, b = made(q, "item_id"), made(docs, "doc_id")
     exact = retrieval.exact(a, b, "item_id", "doc_id", "fp").withColumn("score", F.lit(1.0))
