@@ -174,7 +174,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, **kinds) -> DataFrame:
     """The pieces of ``docs`` with sequence_id and offset.
 
     Every row is packed, repeated ones too; ties within a length are broken by a hash of the id. An
-    empty table gives no rows.
+    empty table gives no rows. Further columns are left out.
     """
     spark = docs.sparkSession
     cuts = cut(pieces(docs, capacity, **kinds))
