@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +37,37 @@ def gaps(df: DataFrame, by: Sequence[str], step: str) -> DataFrame:
     return df.select(*by, step).distinct().withColumn("_after", after).where(F.col("_after") > F.col(step) + 1).select(*by, (F.col(step) + 1).alias("gap_from"), (F.col("_after") - 1).alias("gap_to"))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, at: str, time: str, value: str) -> DataFrame:
-    """Each left row with the latest right row of its key not after it: one union and one window, no range join."""
-    both = left.select(by, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v")).unionByName(right.select(by, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_row"), F.col(value).alias("_v")))
-    w = Window.partitionBy(by).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_seen", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select("_row.*", F.col("_seen").alias(f"{value}_as_of"))
+def as_of(left: DataFrame, right: DataFrame, by: str, at: str, time: str, value: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each left row with the latest right row of its key not after it: one union and one window, no range join.
+
+    ``bucket`` names a stretch of time, such as a day, that grows with it. With it no task holds more than a
+    key's rows of one stretch: what a stretch begins with is carried over from the stretches' last values.
+    """
+    row = left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType
+    both = left.select(by, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    both = both.unionByName(right.select(by, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(row).alias("_row"), F.col(value).alias("_v")))
+    keys = [by] if bucket is None else [by, "_bucket"]
+    both = both if bucket is None else both.withColumn("_bucket", bucket(F.col("_t")))
+    seen = both.withColumn("_seen", F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)))
+    if bucket is not None:
+        lasts = both.groupBy(*keys).agg(F.max(F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))).alias("_last"))
+        before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+        carried = lasts.select(*keys, F.last("_last", ignorenulls=True).over(before)["_v"].alias("_carried"))
+        seen = seen.where("_side = 1").join(carried, keys).withColumn("_seen", F.coalesce("_seen", "_carried"))
+    return seen.where("_side = 1").select("_row.*", F.col("_seen").alias(f"{value}_as_of"))
+
+
+def previous(df: DataFrame, by: str, order: Sequence[str], value: str, bucket: Column, name: str) -> DataFrame:
+    """``df`` with the value of the row before in the order of its key, of which no task holds more than one stretch.
+
+    ``bucket`` grows with the order. The first row of a stretch gets the last value of the stretch before.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(by, "_bucket").orderBy(*order)
+    lasts = rows.groupBy(by, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    carried = lasts.select(by, "_bucket", F.lag("_last").over(Window.partitionBy(by).orderBy("_bucket")).alias("_carried"))
+    rows = rows.withColumns({"_first": F.row_number().over(inside) == 1, "_before": F.lag(value).over(inside)}).join(carried, [by, "_bucket"])
+    return rows.withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))).drop("_bucket", "_first", "_before", "_carried")
 
 
 def chain_breaks(df: DataFrame, by: Sequence[str], index: str, own: str, previous: str) -> DataFrame:

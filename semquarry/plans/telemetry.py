@@ -48,9 +48,11 @@ def correction_grouping_sets(spark, d):
 
 @query("SELECT user_id, event_id, round((epoch_us(ts) - epoch_us(before)) / 1e6, 6) AS gap_s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL AND epoch_us(ts) - epoch_us(before) > 3600000000")
 def session_gaps(spark, d):
-    w = ordering.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)
-    return read(spark, d, _E).select("user_id", "event_id", gap.alias("_gap")).where("_gap > 3600000000").select("user_id", "event_id", F.round(F.col("_gap") / 1e6, 6).alias("gap_s"))
+    """Pauses of over an hour between a user's events; a user's events are taken day by day."""
+    rows = read(spark, d, _E).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+    found = ordering.previous(rows, "user_id", ["_at", "event_id"], "_at", F.floor(F.col("_at") / 86_400_000_000), "_before")
+    gap = F.col("_at") - F.col("_before")
+    return found.where(gap > 3600000000).select("user_id", "event_id", F.round(gap / 1e6, 6).alias("gap_s"))
 
 
 def _timed(spark, d):
@@ -107,7 +109,7 @@ def checkpoint_asof(spark, d):
     events = read(spark, d, _E)
     left = events.where("event_id % 4 = 0").select("event_id", "user_id", "ts")
     right = events.where("event_id % 4 <> 0").select("user_id", "ts", "value")
-    return ordering.as_of(left, right, "user_id", "ts", "ts", "value").select("event_id", "user_id", F.round("value_as_of", 6).alias("value_as_of"))
+    return ordering.as_of(left, right, "user_id", "ts", "ts", "value", F.to_date).select("event_id", "user_id", F.round("value_as_of", 6).alias("value_as_of"))
 
 
 @query("WITH c AS (SELECT user_id, event_id, row_number() OVER w - 1 AS idx, sha256(event_id::VARCHAR) AS own, CASE WHEN event_id % 97 = 0 THEN 'forged' ELSE lag(sha256(event_id::VARCHAR)) OVER w END AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id FROM (SELECT *, lag(own) OVER (PARTITION BY user_id ORDER BY idx) AS want FROM c) WHERE prev IS DISTINCT FROM want")

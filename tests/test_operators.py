@@ -70,6 +70,19 @@ def test_breaker_and_limiter(spark):
     assert allowed == [True, True, False, False, True, True]
 
 
+def test_as_of_and_previous_stretch_by_stretch(spark):
+    rng = random.Random(3)
+    right = [(k, t, rng.random()) for k in (1, 2) for t in sorted(rng.sample(range(300), 20))]
+    left = [(i, k, rng.randrange(-5, 320)) for i, k in enumerate([1, 2] * 40)]
+    a, b = spark.createDataFrame(left, "i int, k int, t int"), spark.createDataFrame(right, "k int, s int, v double")
+    want = {i: max(((s, v) for x, s, v in right if x == k and s <= t), default=(0, None))[1] for i, k, t in left}
+    for bucket in (None, lambda t: F.floor(t / 10)):
+        assert {r["i"]: r["v_as_of"] for r in ordering.as_of(a, b, "k", "t", "s", "v", bucket).collect()} == want
+    before = {(r["k"], r["s"]): r["p"] for r in ordering.previous(b, "k", ["s"], "s", F.floor(F.col("s") / 10), "p").collect()}
+    times = {k: [s for x, s, _ in right if x == k] for k in (1, 2)}
+    assert before == {(k, s): p for k, own in times.items() for p, s in zip([None, *own], own, strict=False)}
+
+
 def test_rows_without_a_key_are_one_key(spark):
     rows = spark.createDataFrame([(None if i < 4 else 1, i, float(i)) for i in range(8)], "k int, i int, at double")
     found = state.fold(rows, "k", ["i"], state.limiter(100.0, 2), "s", "boolean").orderBy("i").collect()
