@@ -50,8 +50,8 @@ def correction_grouping_sets(spark, d):
 def session_gaps(spark, d):
     """Pauses of over an hour between a user's events; a user's events are taken day by day."""
     rows = read(spark, d, _E).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
-    found = ordering.previous(rows, "user_id", ["_at", "event_id"], "_at", F.floor(F.col("_at") / 86_400_000_000), "_before")
-    gap = F.col("_at") - F.col("_before")
+    found = ordering.previous(rows, "user_id", ["_at", "event_id"], "_at", F.floor(F.col("_at") / 86_400_000_000), "earlier")
+    gap = F.col("_at") - F.col("earlier")
     return found.where(gap > 3600000000).select("user_id", "event_id", F.round(gap / 1e6, 6).alias("gap_s"))
 
 
