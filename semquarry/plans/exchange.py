@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import policy, sem, text
+from ..functions import policy, rules, sem, text
 from ..operators import state
 from .lifecycle import _in
 from .records import _FORM, _TWINS, objects
@@ -165,3 +165,29 @@ def tenant_records(spark, d):
     rows = objects(spark, d).select("id", tenant.alias("tenant"), sem.canonical_json("sem").alias("form"))
     prefix = F.substring(F.sha2("tenant", 256), 1, 16)
     return rows.select("id", "tenant", F.concat(F.lit("lfp:1.0:sha256:"), F.substring(F.sha2(F.concat(prefix, "form"), 256), 1, 16), prefix).alias("fp"))
+
+
+#: Sentences in four languages, to which a number is added.
+_SENTENCES = {
+    "en": ["Anna is not at home", "what did they see", "is red", "Nothing happens by chance", "plain words"],
+    "el": ["Άννα είναι εδώ", "τι θέλει", "είναι κόκκινο", "δεν πάει σε σχολείο", "Μαρία είναι από αλλού"],
+    "es": ["Ana es alta", "no va a casa", "cuándo llega", "la mesa de madera", "dónde está"],
+    "id": ["Budi adalah guru", "di mana rumah", "tidak ada", "buku di atas meja", "kata saja"],
+}
+_SENTENCE_ROWS = ", ".join(f"('{lang}', {k}, '{s}')" for lang, own in _SENTENCES.items() for k, s in enumerate(own))
+
+
+def _rule_sql(lang: str, predicate: str, pattern: str, roles: dict[str, str]) -> str:
+    found = ", ".join(f"CASE WHEN trim(regexp_extract(t, '{p}', 1)) <> '' THEN '{role}=' || trim(regexp_extract(t, '{p}', 1)) END" for role, p in sorted(roles.items())) or "NULL"
+    return f"SELECT id, '{predicate}' AS predicate, array_to_string(list_filter([{found}], lambda x: x IS NOT NULL), ';') AS roles, {str(predicate == 'negation').lower()} AS negated FROM s WHERE lang = '{lang}' AND regexp_matches(t, '{pattern}')"
+
+
+@query(f"WITH w(lang, k, s) AS (VALUES {_SENTENCE_ROWS}), s AS (SELECT event_id AS id, w.lang, w.s || ' ' || event_id % 10 AS t FROM events JOIN w ON w.lang = ['en', 'el', 'es', 'id'][event_id % 4 + 1] AND w.k = event_id // 4 % 5) " + " UNION ALL ".join(_rule_sql(lang, *rule) for lang, own in rules.RULES.items() for rule in own))
+def rule_parse(spark, d):
+    """Clauses that rules find in sentences of four languages."""
+    i = F.col("event_id")
+    lists = F.element_at(F.create_map(*[x for lang, own in _SENTENCES.items() for x in (F.lit(lang), F.array(*map(F.lit, own)))]), F.col("lang"))
+    rows = read(spark, d, "events").select(i.alias("id"), _pick(list(_SENTENCES), i % 4).alias("lang")).withColumn("t", F.concat(F.element_at(lists, (F.floor(F.col("id") / 4) % 5 + 1).cast("int")), F.lit(" "), (F.col("id") % 10).cast("string")))
+    clauses = rows.select("id", F.explode(rules.parsed(F.col("t"), F.col("lang"))).alias("c"))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("c.roles")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return clauses.select("id", "c.predicate", shown.alias("roles"), "c.negated")
