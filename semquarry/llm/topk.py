@@ -38,7 +38,7 @@ LEAF = 16
 #: Leaves of the tree's top, and rows that it is fitted to; every row is indexed.
 CELLS, SAMPLE = 256, 10_000
 #: A node has at most this times the root of its rows as children, and stays a leaf if they leave more of its radius.
-FANOUT, SHRINK = 4, 0.9
+FANOUT, SHRINK = 4, 0.6
 
 
 class CoverTree:
@@ -251,8 +251,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     columns are left out.
     """
     spark = vectors.sparkSession
-    rows = cut(_whole(vectors).withColumn("row", F.monotonically_increasing_id()))
-    tops = {dim: (tree, tree.leaves()) for dim, tree in _top(rows).items()}
+    whole = _whole(vectors)
+    tops = {dim: (tree, tree.leaves()) for dim, tree in _top(whole).items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,12 +268,14 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], [*batch.schema.names, "cell", "away"])
 
     is_query = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
-    rows = cut(rows.withColumn("query", is_query).mapInArrow(place, "vec_id long, dim int, v binary, row long, query boolean, cell int, away double"))
+    rows = whole.withColumn("row", F.monotonically_increasing_id()).withColumn("query", is_query)
+    rows = cut(rows.mapInArrow(place, "vec_id long, dim int, v binary, row long, query boolean, cell int, away double"))
     by = ["dim", "cell"]
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("query"), 1)).alias("nq"), F.max("away").alias("data_radius"), F.max(F.when(F.col("query"), F.col("away"))).alias("query_radius"))
-    sizes = cut(sizes)
+    kind, sizes = sizes.schema, sizes.collect()  # CELLS rows for each length of vectors
+    sizes = spark.createDataFrame(sizes, kind)
     # parts of a leaf's rows by a hash, and groups of neighbouring leaves of about QUERIES queries
-    leaf_sizes = sorted((r["dim"], r["cell"], r["nq"]) for r in sizes.collect())  # CELLS rows for each length of vectors
+    leaf_sizes = sorted((r["dim"], r["cell"], r["nq"]) for r in sizes.collect())
     groups_of, taken = [], {}
     for dim, cell, nq in leaf_sizes:
         before = taken.get(dim, 0)
@@ -293,7 +295,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         asked = asked.withColumn("known", none) if known is None else asked.join(known, "row", "left")
         pairs = sizes.where("nq > 0").select(*by, F.col("cell").alias("from")) if pairs is None else pairs
         parts = asked.select("dim", "from", "q").distinct()  # a hot leaf's queries have several
-        pairs = cut(pairs.join(data_parts, by).join(parts, ["dim", "from"]).select(*task))
+        pairs = pairs.join(data_parts, by).join(parts, ["dim", "from"]).select(*task)
         data = parted.drop("q").join(pairs, ["dim", "cell", "d"]).withColumns({"query": F.lit(False), "known": none})
         queries = asked.drop("cell", "d").join(pairs, ["dim", "from", "q"]).withColumn("query", F.lit(True))
         both = data.select(columns).unionByName(queries.select(columns)).repartition(*task).sortWithinPartitions(*task, F.col("vec_id").asc_nulls_last(), "row")
