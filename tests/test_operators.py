@@ -37,6 +37,14 @@ def test_query_equals_sql(spark, name):
     assert same(catalog.QUERIES[name](spark, SF).toPandas()) == same(duck(catalog.ORACLE_SQL[name]))
 
 
+def test_mean_accuracies_equal_sql_however_rows_are_dealt(spark, tmp_path):
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{SF.replace('0.001', '0.1')}/events.parquet' WHERE user_id < 500")
+    spark.createDataFrame(connection.execute("SELECT * FROM events").fetchdf()).repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    expected = connection.execute(catalog.ORACLE_SQL["mode_comparison"]).fetchdf()
+    assert same(catalog.QUERIES["mode_comparison"](spark, str(tmp_path)).toPandas()) == same(expected)
+
+
 def test_canonical_form_and_identity():
     twin = json.loads(json.dumps(OBJECT).replace(" Likes  it ", "likes_it").replace("Hot Coffee", "hot_coffee"))
     assert sem.stringify(sem.canonical(OBJECT)) == sem.stringify(sem.canonical(twin))
