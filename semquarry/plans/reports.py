@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import policy, text
-from ..operators import comparing, context, metrics
+from ..operators import comparing, context, metrics, retrieval
 from .surface import NORM, ROUGH, TELEGRAPH, query, read
 
 _LANGS = ["en", "de", "fr", "es"]
@@ -230,11 +230,7 @@ def group_pairs(spark, d):
 @query(rf"WITH q AS (SELECT item_id, string_split_regex(lower(text), '\s+') AS words FROM benchmark), s AS (SELECT item_id, doc_id, round(len(list_filter(words, lambda w: contains(t, w))) / len(words)::DOUBLE, 6) AS score FROM q, (SELECT doc_id, lower(text) AS t FROM documents)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10")
 def word_containment(spark, d):
     """The ten documents that hold most of a query's words as parts of their text, for each query of a stated set."""
-    queries = read(spark, d, "benchmark").select("item_id", F.split(F.lower("text"), r"\s+").alias("words"))
-    docs = read(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    score = F.round(F.size(F.filter("words", lambda w: F.contains(F.col("t"), w))) / F.size("words"), 6)
-    scored = docs.crossJoin(queries).select("item_id", "doc_id", score.alias("score"))  # Spark broadcasts the queries where it has measured them small
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10")
+    return retrieval.containment(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id")
 
 
 @query("SELECT l.doc_id, 'labelled' AS origin, toxic = 1 AS positive FROM labels l JOIN documents d USING (doc_id) UNION ALL SELECT item_id, 'benchmark', true FROM benchmark UNION ALL SELECT l.doc_id, 'orphan', NULL FROM labels l ANTI JOIN documents d USING (doc_id)")

@@ -45,6 +45,25 @@ def test_mean_accuracies_equal_sql_however_rows_are_dealt(spark, tmp_path):
     assert same(catalog.QUERIES["mode_comparison"](spark, str(tmp_path)).toPandas()) == same(expected)
 
 
+def test_word_containment_of_odd_texts_without_pairs(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice(["a", "b", "é", "A", " ", "\n", "\x0b", "\u00a0", "  "]) for _ in range(n))
+    items = [(0, None), (1, ""), (2, " a  a b"), (3, "a\x0bb a"), (None, "é a"), (5, "b " * 40 + "éb")] + [(i, some(30)) for i in range(6, 40)]
+    docs = [(0, None), (1, ""), (2, " "), (None, "ab"), (None, "a\x0bb a"), (5, "éb" * 3000)] + [(i, some(rng.randrange(60))) for i in range(6, 300)]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    expected = same(connection.execute(catalog.ORACLE_SQL["word_containment"]).fetchdf())
+    found = catalog.QUERIES["word_containment"](spark, str(tmp_path))
+    assert same(found.toPandas()) == expected
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 7)
+    assert same(catalog.QUERIES["word_containment"](spark, str(tmp_path)).toPandas()) == expected
+
+
 def test_canonical_form_and_identity():
     twin = json.loads(json.dumps(OBJECT).replace(" Likes  it ", "likes_it").replace("Hot Coffee", "hot_coffee"))
     assert sem.stringify(sem.canonical(OBJECT)) == sem.stringify(sem.canonical(twin))
