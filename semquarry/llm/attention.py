@@ -38,7 +38,11 @@ SHARES, LARGEST = 32, 2048
 WINDOW, SCORED = 32, 16
 EMBED, HIDDEN = 16, 32
 ROUNDS, BATCH, STEPS, RATE = 4, 512, 240, 0.03
+#: Numbers that are worked on at once, so that they stay in a core's cache.
+BLOCK = 262_144
 TABLE_ENTRIES = 500_000
+#: Rows that a task sends on at once.
+ROWS = 100_000
 #: Words whose counts every task has; the others' are joined. A bound on what is broadcast.
 FREQUENT = 200_000
 
@@ -53,16 +57,20 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.known: pa.Array | None = None  # the words; each one's place is its number
         self.hash = np.zeros(0, np.int64)
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)  # where each word's ids start
 
+    def full(self) -> bool:
+        """Whether the table is emptied before it takes more."""
+        return len(self.hash) > TABLE_ENTRIES
+
     def add(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(words' numbers, lengths in words) of the texts, one after the other.
 
-        Words are split and told apart batch-wise by Arrow; only distinct ones are looked up one by one.
+        Words are split, told apart and found in the table by Arrow; only new ones are taken one by one.
         """
-        if len(self.number) > TABLE_ENTRIES:
+        if self.full():
             self.clear()
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         flat = split.flatten()
@@ -71,25 +79,29 @@ class Words:
         ends = split.offsets.to_numpy() - split.offsets[0].as_py()
         lengths = upto[ends[1:]] - upto[ends[:-1]]
         coded = flat.dictionary_encode()
-        distinct, number = coded.dictionary.to_pylist(), self.number
-        new = [word for word in distinct if word and word not in number]
+        distinct = coded.dictionary
+        known = distinct.slice(0, 0) if self.known is None else self.known.cast(distinct.type)
+        of = pc.fill_null(pc.index_in(distinct, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unseen = of < 0
+        of[unseen] = len(known) + np.arange(unseen.sum())
+        more = distinct.filter(pa.array(unseen))
+        self.known = pa.concat_arrays([known, more])
+        new = more.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         if new:
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            self.hash = np.append(self.hash, np.fromiter((xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) - (1 << 63) for word in new), np.int64, len(new)))
+            self.hash = np.append(self.hash, (np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)) ^ np.uint64(1 << 63)).view(np.int64))
             if self.model:
                 ids = self.model.encode(new, num_threads=1)
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 self.first = np.append(self.first, self.first[-1] + np.cumsum(sizes))
                 self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum()))
-        of = np.fromiter((number.get(word, -1) for word in distinct), np.int64, len(distinct))
-        return of[coded.indices.to_numpy()[there]] if len(flat) else np.zeros(0, np.int64), lengths
+        return of[coded.indices.to_numpy()[there]], lengths
 
     def subwords(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after the other, number of ids of each)."""
-        first, ids = self.first, self.ids
-        size = first[numbers + 1] - first[numbers]
-        where = np.repeat(first[numbers] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return ids[where], size
+        size = np.diff(self.first)[numbers]
+        where = np.arange(size.sum())
+        where += np.repeat(self.first[numbers] - (np.cumsum(size) - size), size)
+        return self.ids.take(where), size
 
 
 _WORDS: dict[str | None, Words] = {}
@@ -105,7 +117,8 @@ def _by_id(ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the ids that occur, the sums of their rows of ``d``)."""
     order = np.argsort(ids.astype(np.uint16), kind="stable")  # of 16 bits, which numpy sorts by counting
     first = np.flatnonzero(np.diff(ids[order].astype(np.int64), prepend=-1))
-    return ids[order[first]], np.add.reduceat(d.take(order, 0), first, 0)
+    pairs = d.take(order, 0).view(np.result_type(d.dtype, np.complex64))  # two neighbours are summed in one step
+    return ids[order[first]], np.add.reduceat(pairs, first, 0).view(d.dtype)
 
 
 def _step(m: np.ndarray, v: np.ndarray, d: np.ndarray, rate: float, step: int) -> np.ndarray:
@@ -146,7 +159,7 @@ class Outputs:
     def sequences(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(outputs with ends, texts' lengths in outputs)."""
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lengths)]
-        return np.insert(self.of[ids], ends, self.end), np.diff(ends, prepend=0) + 1
+        return np.insert(self.of.astype(np.uint16).take(ids), ends, self.end), np.diff(ends, prepend=0) + 1
 
 
 class Attention:
@@ -166,69 +179,81 @@ class Attention:
         }
 
     def _hidden(self, inputs: np.ndarray, queries: int) -> tuple:
-        """Scores of the last ``queries`` places over all inputs up to each, as weights ``p`` that are not yet divided by their sums."""
+        """Scores of the last ``queries`` places over all inputs up to each, as weights ``p`` that are divided by their sums."""
         w = self.w
         x = w["embed"].take(inputs, 0)
         x += w["place"]
         xq = x[:, WINDOW - queries :]
         kind = x.dtype
-        q = xq.reshape(-1, EMBED) @ (w["q"] * kind.type(EMBED**-0.5))
-        k = x.reshape(-1, EMBED) @ w["k"]
-        v = np.empty((*inputs.shape, EMBED + 1), kind)
-        np.matmul(x, w["v"], out=v[..., :EMBED])
-        v[..., EMBED] = 1
-        q, k = q.reshape(*xq.shape), k.reshape(*x.shape)
+        q = (xq.reshape(-1, EMBED) @ (w["q"] * kind.type(EMBED**-0.5))).reshape(xq.shape)
+        kv = (x.reshape(-1, EMBED) @ np.hstack([w["k"], w["v"]])).reshape(*x.shape[:2], 2 * EMBED)
+        k, v = kv[..., :EMBED], kv[..., EMBED:]
         lag = np.arange(WINDOW - queries, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
         p = q @ k.transpose(0, 2, 1)
-        np.minimum(p, 40, out=p)
+        if p.max(initial=0) > 40:
+            np.minimum(p, 40, out=p)
         np.exp(p, out=p)
         p *= np.where(lag >= 0, np.exp(np.minimum(w["lag"], 40))[np.maximum(lag, 0)], kind.type(0))
-        summed = p @ v
-        o = summed[..., :EMBED] / (summed[..., EMBED:] + kind.type(1e-30))
+        summed = (p.reshape(-1, WINDOW) @ np.ones(WINDOW, kind)).reshape(p.shape[:2])
+        summed += kind.type(1e-30)
+        np.divide(1, summed, out=summed)
+        o = p @ v
+        o *= summed[..., None]
         h = o.reshape(-1, EMBED) @ w["o"]
-        h = h.reshape(*xq.shape[:2], HIDDEN)
-        h += w["near"].take(inputs[:, WINDOW - queries :], 0)
+        h += w["near"].take(inputs[:, WINDOW - queries :].ravel(), 0)
         h += w["b"]
         np.maximum(h, 0, out=h)
         return x, xq, q, k, v, lag, p, summed, o, h
 
-    def _log_softmax(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, error: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probabilities of the targets, probabilities less one at the targets where ``error`` asks for them)."""
+    def _log_softmax(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, scale: float = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probabilities of the targets, ``scale`` times the probabilities less one at the targets, unless it is 0).
+
+        Places are columns: numpy then works along them, however few ids there are.
+        """
         at = np.arange(len(target))
-        z = h @ w.T
-        z += b
-        logp = z[at, target]
-        with np.errstate(over="ignore"):
-            np.exp(z, out=z)
-        total = z.sum(1)
+        z = w @ h.T
+        z += b[:, None]
+        logp = z[target, at]
+        np.exp(z, out=z)
+        total = z.sum(0)
         if not np.isfinite(total.max(initial=0)) or not total.min(initial=1):  # logits beyond what exp can take
-            z = h @ w.T + b
-            z -= z.max(1, keepdims=True)
-            logp = z[at, target]
+            z = w @ h.T + b[:, None]
+            z -= z.max(0)
+            logp = z[target, at]
             np.exp(z, out=z)
-            total = z.sum(1)
+            total = z.sum(0)
         logp -= np.log(total)
-        if error:
-            z /= total[:, None]
-            z[at, target] -= 1
+        if scale:
+            z *= scale / total
+            z[target, at] -= scale
         return logp, z
 
+    def _within(self, c: np.ndarray) -> Iterator[tuple[int, int, slice]]:
+        """(first id, id after the last, places) of the classes of more than one id among the places' sorted classes ``c``."""
+        at = np.searchsorted(c, np.arange(len(self.edges)))
+        for i in np.flatnonzero(np.diff(at)).tolist():
+            lo, hi = int(self.edges[i]), int(self.edges[i + 1])
+            if hi - lo > 1:
+                most = max(128, BLOCK // (hi - lo))
+                for a in range(at[i], at[i + 1], most):
+                    yield lo, hi, slice(a, min(a + most, at[i + 1]))
+
     def logp(self, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray, queries: int) -> np.ndarray:
         """Natural log-probabilities of the used targets of the windows' last ``queries`` places."""
-        w, h, target = self.w, self._hidden(inputs, queries)[-1][use], targets[use]
-        c = self.class_of[target]
-        out = self._log_softmax(h, w["class"], w["class_b"], c, False)[0]
-        order = np.argsort(c.astype(np.int16), kind="stable")
-        h, target = h[order], target[order]
-        at = np.searchsorted(c[order], np.arange(len(self.edges)))
-        inner = np.zeros(len(target), h.dtype)
-        for i in np.flatnonzero(np.diff(at)):
-            lo, hi = self.edges[i], self.edges[i + 1]
-            if hi - lo > 1:
-                for a in range(at[i], at[i + 1], 4096):
-                    b = min(a + 4096, at[i + 1])
-                    inner[a:b] = self._log_softmax(h[a:b], w["in"][lo:hi], w["in_b"][lo:hi], target[a:b] - lo, False)[0]
-        out[order] += inner
+        w, few = self.w, max(1, BLOCK // WINDOW // queries)
+        h = [self._hidden(inputs[a : a + few], queries)[-1] for a in range(0, len(inputs), few)]
+        h, target = np.concatenate(h) if h else np.zeros((0, HIDDEN), np.float32), targets[use]
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        h, target = h.take(np.flatnonzero(use)[order], 0), target[order]
+        c, found = self.class_of[target], np.zeros(len(target), h.dtype)
+        with np.errstate(over="ignore"):
+            most = max(128, BLOCK // len(w["class_b"]))
+            for a in range(0, len(target), most):
+                found[a : a + most] = self._log_softmax(h[a : a + most], w["class"], w["class_b"], c[a : a + most])[0]
+            for lo, hi, own in self._within(c):
+                found[own] += self._log_softmax(h[own], w["in"][lo:hi], w["in_b"][lo:hi], target[own] - lo)[0]
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray, queries: int) -> tuple[float, dict]:
@@ -238,50 +263,53 @@ class Attention:
         """
         w = self.w
         x, xq, q, k, v, lag, p, summed, o, h = self._hidden(inputs, queries)
-        by_class = np.argsort(targets[use].astype(np.uint16), kind="stable")
-        hu, target = h[use][by_class], targets[use][by_class]
+        target = targets[use]
+        by_class = np.argsort(target.astype(np.uint16), kind="stable")
+        places, target = np.flatnonzero(use)[by_class], target[by_class]
+        hu = h.take(places, 0)
         c, scale = self.class_of[target], h.dtype.type(1 / max(len(target), 1))
-        g = {}
-        logp, e = self._log_softmax(hu, w["class"], w["class_b"], c, True)
-        total = float(logp.sum())
-        e *= scale
-        g["class"], g["class_b"] = e.T @ hu, e.sum(0)
-        dh = e @ w["class"]
-        at = np.searchsorted(c, np.arange(len(self.edges)))
-        rows, d_in, d_b = [], [], []
-        for i in np.flatnonzero(np.diff(at)):
-            lo, hi, own = self.edges[i], self.edges[i + 1], slice(at[i], at[i + 1])
-            if hi - lo > 1:
-                logp, e = self._log_softmax(hu[own], w["in"][lo:hi], w["in_b"][lo:hi], target[own] - lo, True)
+        total, dh = 0.0, np.empty_like(hu)
+        g = {"class": np.zeros_like(w["class"]), "class_b": np.zeros_like(w["class_b"])}
+        sums: dict[int, list] = {}
+        with np.errstate(over="ignore"):
+            most = max(128, BLOCK // len(w["class_b"]))
+            for a in range(0, len(target), most):
+                own = slice(a, a + most)
+                logp, e = self._log_softmax(hu[own], w["class"], w["class_b"], c[own], scale)
+                total += float(logp.sum())
+                g["class"] += e @ hu[own]
+                g["class_b"] += e.sum(1)
+                np.matmul(e.T, w["class"], out=dh[own])
+            for lo, hi, own in self._within(c):
+                logp, e = self._log_softmax(hu[own], w["in"][lo:hi], w["in_b"][lo:hi], target[own] - lo, scale)
                 total += float(logp.sum())
-                e *= scale
-                rows.append(np.arange(lo, hi)), d_in.append(e.T @ hu[own]), d_b.append(e.sum(0))
-                dh[own] += e @ w["in"][lo:hi]
-        if rows:
-            rows = np.concatenate(rows)
-            g["in"], g["in_b"] = (rows, np.concatenate(d_in)), (rows, np.concatenate(d_b))
-        back = np.empty_like(dh)
-        back[by_class] = dh
-        dz = np.zeros_like(h)
-        dz[use] = back
-        dz *= h > 0
-        flat = dz.reshape(-1, HIDDEN)
+                d, d_b = e @ hu[own], e.sum(1)
+                if lo in sums:
+                    d, d_b = d + sums[lo][1], d_b + sums[lo][2]
+                sums[lo] = [np.arange(lo, hi), d, d_b]
+                dh[own] += e.T @ w["in"][lo:hi]
+        if sums:
+            rows, d, d_b = (np.concatenate(parts) for parts in zip(*sums.values(), strict=True))
+            g["in"], g["in_b"] = (rows, d), (rows, d_b)
+        dh *= hu > 0
+        flat = np.zeros_like(h)
+        flat[places] = dh
         g["near"], g["b"], g["o"] = _by_id(inputs[:, WINDOW - queries :].ravel(), flat), flat.sum(0), o.reshape(-1, EMBED).T @ flat
-        do = (flat @ w["o"].T).reshape(*o.shape)
-        do /= summed[..., EMBED:] + h.dtype.type(1e-30)
-        ds = np.concatenate([do, -(do * o).sum(2, keepdims=True)], 2)  # of the sums of weighted values, and of weights
-        dv = p.transpose(0, 2, 1) @ ds
-        dp = ds @ v.transpose(0, 2, 1)
+        do = (flat @ w["o"].T).reshape(o.shape)  # of the weighted values' sums, once it is divided by the weights' sums
+        do *= summed[..., None]
+        dp = do @ v.transpose(0, 2, 1)
+        o *= do
+        dp -= (o.reshape(-1, EMBED) @ np.ones(EMBED, o.dtype)).reshape(*o.shape[:2], 1)
         dp *= p
         of_lag = dp.sum(0)
         g["lag"] = np.bincount(lag[lag >= 0], of_lag[lag >= 0], WINDOW).astype(h.dtype)
-        dq, dk = dp @ k, dp.transpose(0, 2, 1) @ q
+        dq = dp @ k
         dq *= h.dtype.type(EMBED**-0.5)
-        dv = np.ascontiguousarray(dv[..., :EMBED])
-        dx = (dk.reshape(-1, EMBED) @ w["k"].T + dv.reshape(-1, EMBED) @ w["v"].T).reshape(*x.shape)
-        dx[:, WINDOW - queries :] += (dq.reshape(-1, EMBED) @ w["q"].T).reshape(*dq.shape)
-        for name, of, d in (("q", xq, dq), ("k", x, dk), ("v", x, dv)):
-            g[name] = of.reshape(-1, EMBED).T @ d.reshape(-1, EMBED)
+        dkv = np.concatenate([dp.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ do], 2).reshape(-1, 2 * EMBED)
+        dx = (dkv @ np.hstack([w["k"], w["v"]]).T).reshape(x.shape)
+        dx[:, WINDOW - queries :] += (dq.reshape(-1, EMBED) @ w["q"].T).reshape(dq.shape)
+        g["q"] = xq.reshape(-1, EMBED).T @ dq.reshape(-1, EMBED)
+        g["k"], g["v"] = np.hsplit(x.reshape(-1, EMBED).T @ dkv, 2)
         g["place"] = dx.sum(0)
         g["embed"] = _by_id(inputs.ravel(), dx.reshape(-1, EMBED))
         return total, g
@@ -338,32 +366,50 @@ def windows_at(sequence: np.ndarray, lengths: np.ndarray, starts: np.ndarray, te
     ``sequence`` holds the texts' outputs one after the other; each text's inputs are ``first``, its start,
     and all but its last output.
     """
-    place = start[:, None] + np.arange(WINDOW)
-    use = place < lengths[text][:, None]
-    at = np.minimum(starts[text][:, None] + place, max(len(sequence) - 1, 0))
-    return np.where(place == 0, first, sequence[np.maximum(at - 1, 0)].astype(np.int32)), sequence[at].astype(np.int32), use
+    at = (starts[text] + start)[:, None] + np.arange(-1, WINDOW)
+    np.clip(at, 0, max(len(sequence) - 1, 0), out=at)
+    found = sequence.take(at).astype(np.int32)
+    inputs, targets = found[:, :-1], found[:, 1:]
+    inputs[start == 0, 0] = first
+    return inputs, targets, np.arange(WINDOW) < (lengths[text] - start)[:, None]
 
 
 def _training(docs: DataFrame) -> DataFrame:
     return docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT)
 
 
-def counted(training: DataFrame, model: str = MODEL) -> DataFrame:
-    """(subword, key, count): of all words of the training texts, by their hashes, and of all their subword ids.
+def partial_counts(training: DataFrame, model: str = MODEL) -> DataFrame:
+    """(subword, key, count) of the words of the training texts, by their hashes, and of their subword ids, task by task.
 
-    Summed within batches before the shuffle.
+    A task sends them on when its table of words is full, and at its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(model)
+        words, total = words_of(model), np.zeros(0, np.int64)
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            seen = np.flatnonzero(total)
+            ids = np.bincount(words.ids, np.repeat(np.pad(total, (0, len(words.hash) - len(total))), np.diff(words.first))).astype(np.int64)
+            for subword, key, count in ((False, words.hash[seen], total[seen]), (True, np.flatnonzero(ids), ids[ids > 0])):
+                for at in range(0, len(key), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[at : at + ROWS]), subword)), pa.array(key[at : at + ROWS]), pa.array(count[at : at + ROWS])], ["subword", "key", "count"])
+
         for batch in slices(batches, 0):
+            if words.full():
+                yield from summed()
+                total = np.zeros(0, np.int64)
             numbers, _ = words.add(batch.column(0))
-            for subword, count in ((False, np.bincount(numbers)), (True, np.bincount(words.subwords(numbers)[0]))):
-                seen = np.flatnonzero(count)
-                key = seen if subword else words.hash[seen]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), subword)), pa.array(key), pa.array(count[seen])], ["subword", "key", "count"])
+            count = np.bincount(numbers, minlength=len(words.hash))
+            count[: len(total)] += total
+            total = count
+        yield from summed()
+
+    return training.select("text").mapInArrow(run, "subword boolean, key long, count long")
 
-    return training.select("text").mapInArrow(run, "subword boolean, key long, count long").groupBy("subword", "key").agg(F.sum("count").alias("count"))
+
+def counted(training: DataFrame, model: str = MODEL) -> DataFrame:
+    """(subword, key, count): of all words of the training texts, by their hashes, and of all their subword ids."""
+    return partial_counts(training, model).groupBy("subword", "key").agg(F.sum("count").alias("count"))
 
 
 def _packed(moves: dict[str, np.ndarray], n: float) -> pa.RecordBatch:
@@ -405,7 +451,7 @@ def train(training: DataFrame, ids: np.ndarray, texts: int, model: str = MODEL,
             for batch in slices(batches, 1):
                 numbers, lengths = words.add(batch.column(1))
                 sequence, size = outputs.sequences(*words.subwords(numbers), lengths)
-                parts.append((sequence.astype(np.uint16), size))
+                parts.append((sequence, size))
             if parts:
                 sequence, size = (np.concatenate(x) for x in zip(*parts, strict=True))
                 own = copy.copy(net)
@@ -422,7 +468,7 @@ def train(training: DataFrame, ids: np.ndarray, texts: int, model: str = MODEL,
     return net, outputs
 
 
-def score_texts(numbers: np.ndarray, lengths: np.ndarray, words: Words, net: Attention, outputs: Outputs, block: int = 1024) -> np.ndarray:
+def score_texts(numbers: np.ndarray, lengths: np.ndarray, words: Words, net: Attention, outputs: Outputs, block: int = 4096) -> np.ndarray:
     """log10 probability of each whole text, given by its words' numbers."""
     sequence, size = outputs.sequences(*words.subwords(numbers), lengths)
     total = np.zeros(len(size))

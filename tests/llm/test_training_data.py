@@ -483,6 +483,49 @@ def test_attention_gradient_against_differences():
         assert (up - down) / 2e-4 == pytest.approx(at[1][k], rel=0.02, abs=1e-5), name
 
 
+def test_attention_counts_leave_a_task_once(spark, docs):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        found = rows(attention.partial_counts(docs.coalesce(1)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len({(r["subword"], r["key"]) for r in found})
+    assert sum(r["count"] for r in found if not r["subword"]) == sum(len((r["text"] or "").encode().split()) for r in docs.collect())
+
+
+def test_attention_words_of_any_batches(monkeypatch):
+    texts = [*TEXTS, "ONE Two\tthree\x0bfour\r\n", "\x1f", "x\u00a0y \u3000", "one two"]
+    model = attention.Words(attention.MODEL).model
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    want = [[model.encode(w.decode()) for w in lower(t or "").encode().split()] for t in texts]
+    for entries, step in ((500_000, 100), (500_000, 3), (2, 2)):  # with a table that holds all, and one that is emptied
+        monkeypatch.setattr(attention, "TABLE_ENTRIES", entries)
+        words, found = attention.Words(attention.MODEL), []
+        for at in range(0, len(texts), step):
+            numbers, lengths = words.add(pa.array(texts[at : at + step], pa.string()))
+            ids, sizes = words.subwords(numbers)
+            each = iter(np.split(ids, np.cumsum(sizes)[:-1])) if len(sizes) else iter(())
+            found += [[next(each).tolist() for _ in range(n)] for n in lengths]
+        assert found == want
+
+
+def test_attention_gradient_of_any_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    outputs = attention.Outputs(rng.zipf(1.3, 32_000) % 1000, 10)
+    net = attention.Attention(outputs)
+    net.w = {name: x.astype(np.float64) for name, x in net.w.items()}
+    inputs, targets, use, _ = laid_out(outputs.of[rng.integers(0, 32_000, 3000) % 40], np.array([1700, 1300]), attention.SCORED, net.start)
+    targets, use, found = targets[:, -attention.SCORED :], use[:, -attention.SCORED :], []
+    for block in (1, 1 << 30):  # 128 places at once at least, and all
+        monkeypatch.setattr(attention, "BLOCK", block)
+        found.append((*net.gradient(inputs, targets, use, attention.SCORED), net.logp(inputs, targets, use, attention.SCORED)))
+    (total, g, logp), (total_, g_, logp_) = found
+    assert total == pytest.approx(total_) == pytest.approx(logp.sum()) and logp == pytest.approx(logp_)
+    for name, d in g.items():
+        for a, b in zip(d, g_[name], strict=True) if isinstance(d, tuple) else [(d, g_[name])]:
+            assert a == pytest.approx(b, abs=1e-9), name
+
+
 def test_attention_beats_the_base_on_held_out_texts(spark):
     score, base = attention.op5_attention(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert score > base
